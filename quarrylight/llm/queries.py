@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, sharding
+from . import bpe, chat_format, quality_rules, sharding, token_file
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_sharding": sharding.op2_sharding,
+    "op5_token_file": token_file.op5_token_file,
     "op7_chat_format": chat_format.op7_chat_format,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
