@@ -35,8 +35,8 @@ from .common import span_hashes
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
-CHUNK_CHARS = 2_000_000
-TABLE_WORDS = 800_000
+CHUNK_CHARS = 400_000
+TABLE_WORDS = 400_000
 SLOTS = (1 << 20) - 3
 
 
@@ -256,6 +256,13 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, which bound what is held as Python objects."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, rows):
+            yield whole.slice(lo, rows)
+
+
 def chunks(texts: list, chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many characters."""
     at = size = 0
@@ -343,7 +350,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: st
             return WordEncoder(v.special, v.merge, cutter(library(spec.value)))
 
         enc = once(f"bpe-{key}", make)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             for lo, hi in chunks(texts):
                 ids, counts = enc.encode(texts[lo:hi])

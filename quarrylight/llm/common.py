@@ -53,7 +53,7 @@ _inv = np.ones(1, dtype=U)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        n = max(n, 2 * len(_pow))
+        n = max(n, len(_pow) + (len(_pow) >> 2))
         with np.errstate(over="ignore"):
             p = np.full(n, BASE, dtype=U)
             q = np.full(n, INV, dtype=U)
@@ -96,9 +96,9 @@ def words_of(text: str | None, kind: np.ndarray = SPACED) -> tuple[np.ndarray, n
 
 def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), dtype=U)
-    at, step = 0, 1 << 22
+    at, step = 0, 1 << 18
     with np.errstate(over="ignore"):
-        while at < len(start):  # blocks of a few MB bound the memory for very long texts
+        while at < len(start):  # blocks bound the memory for very long texts
             to = max(at + 1, int(np.searchsorted(end, start[at] + step)))
             lo, hi = int(start[at]), int(end[to - 1])
             p, q = _powers(hi - lo + 1)

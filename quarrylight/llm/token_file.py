@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WordEncoder, binary, chunks, cutter, library, library_fill, once, ragged, read_spec
+from .bpe import WordEncoder, binary, chunks, cutter, library, library_fill, once, ragged, read_spec, slices
 from .common import remove, saved, work_dir
 
 SEGMENT = 512
@@ -144,7 +144,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFra
             return WordEncoder(special, library_fill(tok), cutter(tok)), np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
 
         enc, kind = once(f"library-{key}", make)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             for lo, hi in chunks(texts):
                 ids, counts = enc.encode(texts[lo:hi])
@@ -266,8 +266,8 @@ def read_token_file(spark, path: str) -> DataFrame:
     def run(batches):
         table = decode_table(shared.value, max_len)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 32):
-                b = whole.slice(lo, 32)
+            for lo in range(0, whole.num_rows, 8):
+                b = whole.slice(lo, 8)
                 blocks = b.to_pylist()
                 base = np.concatenate([[0], np.cumsum([len(x["payload"]) for x in blocks])]) * 8
                 bit = np.concatenate([np.array(x["seg_bits"], dtype=np.int64) + o for x, o in zip(blocks, base[:-1], strict=True)])
