@@ -122,3 +122,68 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
             h = h * U(BASE) + words[i : n - k + 1 + i]
             h ^= h >> U(29)
         return mix(h)
+
+
+def sized(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored narrow table, to be broadcast if counting finds no more than so many rows; else a shuffle joins it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+BITS = 1 << 22
+
+
+def slot(col):
+    """The bit of a value in bitmap()."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(col), F.lit(BITS))
+
+
+def bitmap(df: DataFrame, col: str):
+    """Broadcast of BITS bits (512 KB whatever the input) with those of df's values set.
+
+    A sieve before an exact join: values that it lets through without need are
+    dropped by that join.
+    """
+    from pyspark.sql import functions as F
+
+    at = df.select(slot(col).alias("s")).select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s % 64 AS int))").alias("b"))
+    out = np.zeros(BITS // 64, dtype=U)
+    for x in at.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[x["w"]] = x["b"] & (2**64 - 1)
+    return df.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63).astype(U)) & U(1) != 0
+
+
+def components(edges: DataFrame, work: str) -> DataFrame | None:
+    """(node, root) of every node of edges(a, b): the connected components; None without edges.
+
+    Nodes must be hashes. Each round maps a node to the least of itself and its
+    neighbours and rewrites the edges; since the order of hashes is random, a
+    constant share of the nodes goes in each round. Rounds are stored; nothing
+    but a count comes to the driver.
+    """
+    from pyspark.sql import functions as F
+
+    maps, cur, k = [], edges.filter("a <> b").distinct(), 0
+    cur = saved(cur, f"{work}/edges-0")
+    if not cur.count():
+        return None
+    while cur.count():
+        both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = saved(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")), f"{work}/near-{k}")
+        maps.append(near)
+        k += 1
+        step = cur.join(near, "a").select(F.col("to").alias("a"), "b")
+        step = step.join(near.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b").select("a", F.col("tb").alias("b"))
+        cur = saved(step.filter("a <> b").distinct(), f"{work}/edges-{k}")
+    root = maps[-1].select(F.col("a").alias("node"), F.col("to").alias("root"))
+    for near in reversed(maps[:-1]):
+        up = root.select(F.col("node").alias("to"), "root")
+        root = near.join(up, "to", "left").select(F.col("a").alias("node"), F.coalesce("root", "to").alias("root"))
+    return saved(root, f"{work}/root")

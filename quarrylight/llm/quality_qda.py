@@ -3,9 +3,11 @@
 Statistics of the whole text are transformed towards normal shape (logs and
 log-odds) and standardised. Each class has a mean and a covariance shrunk
 towards the pooled covariance and towards a multiple of the identity; its
-Cholesky factor is computed once. The score is the logistic function of the
-difference of the classes' log densities (Mahalanobis distances by triangular
-solves, log determinants from the factors) and log priors.
+Cholesky factor and its inverse are computed once. The score is a logistic function
+of the difference of the classes' log densities (Mahalanobis distances, log
+determinants from the factors) and log priors; its slope and offset are fitted
+on the same rows with equal weight of the classes, since a class of mixed junk
+has a broad density that wins over rare clean texts such as very short ones.
 
 Learning takes max_rows labelled rows at most (parameter), chosen by a hash of
 doc_id; their statistics are computed by executors, and the driver gets one
@@ -89,13 +91,32 @@ class Discriminant:
             s = (1 - ridge) * s + ridge * np.trace(s) / len(s) * np.eye(len(s))
             factor = np.linalg.cholesky(s)
             self.parts.append((m, np.linalg.inv(factor), float(np.log(np.diag(factor)).sum()), float(np.log(n / sum(sizes)))))
+        self.scaling = self.calibrate(x, y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.parts is None:
             return np.full(len(x), self.prior)
+        a, b = self.scaling
+        return 1 / (1 + np.exp(-np.clip(a * self.difference(x) + b, -500, 500)))
+
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """asinh of the difference of log densities, label 1 less label 0."""
         z = (x - self.mean) / self.scale
         density = [p - d - 0.5 * (((z - m) @ inv.T) ** 2).sum(axis=1) for m, inv, d, p in self.parts]
-        return 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
+        return np.arcsinh(density[1] - density[0])
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 60) -> tuple[float, float]:
+        """Slope and offset of the logistic function of difference() by Newton's method; the classes weigh the same."""
+        d = np.stack([self.difference(x), np.ones(len(x))], axis=1)
+        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+        at = np.zeros(2)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(d @ at, -60, 60)))
+            slope = d.T @ (weight * (p - y)) + penalty * at
+            curve = (d * (weight * p * (1 - p))[:, None]).T @ d + penalty * np.eye(2)
+            move = np.linalg.solve(curve, slope)
+            at = at - move * min(1.0, 2.0 / (np.abs(move).max() + 1e-12))
+        return max(float(at[0]), 1e-6), float(at[1])
 
 
 def with_statistics(docs: DataFrame, keep: list[str], finish, kinds: str, text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, language_id, quality_qda, quality_rules, sharding, token_file
+from . import bpe, chat_format, decontaminate, jaccard_join, language_id, quality_qda, quality_rules, sharding, token_file
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,11 +11,13 @@ QUERIES = {
     "op5_token_file": token_file.op5_token_file,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_quality": quality_qda.op9_quality,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {
     "op6_decontaminate": decontaminate.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
