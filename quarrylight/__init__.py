@@ -1,0 +1 @@
+"""Security analytics over collections of source code and text, as Spark DataFrames."""

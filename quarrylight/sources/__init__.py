@@ -1,0 +1 @@
+"""Where contents come from."""
