@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import html_escape, is_base64
+from .functions.text import html_escape, is_base64, relative_age, remote_name
 from .functions.versions import version_number
 from .operators import chunks, dedupe, enrich, fingerprint, hosts, libraries, routes, summary
 from .operators.libraries import ADVISORIES
@@ -20,6 +20,7 @@ from .operators.scan import is_noise, scan_entropy, scan_rules, sources_of
 from .operators.syntax import scan_syntax
 from .plans.analyze import findings, findings_raw
 from .sinks import reports, store
+from .sources import files
 from .sources import maps as source_maps
 from .sources import traces as source_traces
 
@@ -577,6 +578,54 @@ def _(spark, sf_dir):
     return enrich.join_answers(items, answers).select("id", "severity", "ai_severity", "ai_reasoning")
 
 
+@query("enrichment_counts", "SELECT 15::BIGINT AS total, 8::BIGINT AS applied")
+def _(spark, sf_dir):
+    return enrich.enrichment_counts(QUERIES["enrich_join_back"](spark, sf_dir))
+
+
+@query("input_size", "SELECT concat('documents/', CAST(doc_id AS string)) AS path, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines, CAST(length(text) AS INT) AS n_chars FROM documents")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return files.input_size(sources_of(d, F.expr("concat('documents/', cast(doc_id as string))"), F.col("text"))).select("path", "n_lines", "n_chars")
+
+
+@query("joined_text", "SELECT cast(c_nationkey as string) AS analysis_id, md5(string_agg(concat('// === ', c_custkey, ' ===', chr(10), c_name), chr(10) || chr(10) ORDER BY c_custkey)) AS content FROM customer GROUP BY c_nationkey")
+def _(spark, sf_dir):
+    s = fixture(spark, sf_dir, "customer", "cast(c_custkey as string)", "c_name", analysis="cast(c_nationkey as string)", order="c_custkey")
+    return files.joined_text(s).select("analysis_id", F.md5("content").alias("content"))
+
+
+@query("code_files", "SELECT p_partkey FROM part WHERE p_partkey % 5 IN (0, 1, 2) OR p_partkey % 7 = 0")
+def _(spark, sf_dir):
+    name = F.expr("concat('a', cast(p_partkey as string), CASE p_partkey % 5 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' WHEN 2 THEN '.map' WHEN 3 THEN '.jsx' ELSE '.txt' END)")
+    mime = F.expr("CASE WHEN p_partkey % 7 = 0 THEN 'text/javascript' END")
+    return table(spark, sf_dir, "part").filter(files.is_code(name, mime)).select("p_partkey")
+
+
+@query("remote_names", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN concat('f', s_suppkey, '.js') WHEN 1 THEN concat('g', s_suppkey) ELSE 'remote_file.js' END AS name FROM supplier")
+def _(spark, sf_dir):
+    url = F.expr("concat('https://x.org/a/', CASE s_suppkey % 3 WHEN 0 THEN concat('f', cast(s_suppkey as string), '.js?v=1/2') WHEN 1 THEN concat('g', cast(s_suppkey as string)) ELSE '' END)")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", remote_name(url).alias("name"))
+
+
+@query("value_position", "SELECT page_id, CAST(instr(html, 'href') AS INT) AS first, CAST(CASE WHEN instr(substr(html, instr(html, 'href') + 1), 'href') > 0 THEN instr(html, 'href') + instr(substr(html, instr(html, 'href') + 1), 'href') ELSE instr(html, 'href') END AS INT) AS next FROM pages")
+def _(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("first", summary.next_occurrence(F.col("html"), F.lit("href"), F.lit(1)))
+    return p.select("page_id", "first", summary.next_occurrence(F.col("html"), F.lit("href"), F.col("first") + 1).alias("next"))
+
+
+@query("distinct_urls", "SELECT DISTINCT concat('/u/:id', o_orderkey % 9, '/x') AS url, 'endpoints' AS category FROM orders UNION SELECT DISTINCT concat('https://h.example.org/', o_orderkey % 5), 'full-urls' FROM orders UNION SELECT DISTINCT concat('plain/seg', o_orderkey % 3), 'endpoints' FROM orders")
+def _(spark, sf_dir):
+    u = reports.distinct_urls(api_findings(spark, sf_dir)).filter("url NOT LIKE '/u/:id_'")
+    return u.select("url", F.element_at(F.array(*[F.lit(c) for c in reports.URL_CATEGORIES]), F.col("place.rank").cast("int")).alias("category"))
+
+
+@query("report_age", "SELECT o_orderkey, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN concat(m, 'm ago') WHEN m < 1440 THEN concat(m // 60, 'h ago') ELSE concat(m // 1440, 'd ago') END AS age FROM (SELECT o_orderkey, o_orderkey % 40000 AS m FROM orders)")
+def _(spark, sf_dir):
+    then = F.timestamp_seconds(F.lit(4_000_000_000) - (F.col("o_orderkey") % 40_000) * 60)
+    return table(spark, sf_dir, "orders").select("o_orderkey", relative_age(then, F.timestamp_seconds(F.lit(4_000_000_000))).alias("age"))
+
+
 @query("full_analysis")
 def _(spark, sf_dir):
     """All stages over all sources."""
