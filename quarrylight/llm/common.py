@@ -37,6 +37,59 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_ROWS = 1_000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) for rows with whole texts.
+
+    Batches of BATCH_ROWS rows at most bound what executors hold beside their
+    heap (a session setting; a smaller one stays). A worker that has done its
+    task gives freed memory back, since Spark keeps it for later tasks.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def bounded(batches):
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def with_text(docs: DataFrame, keep: list[str], text: str, kinds: str):
+    """(kept columns and the text as last column, names kept, schema of the kept ones and of kinds).
+
+    Kept columns that have the name of a new column give way to it.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    new = T.StructType.fromDDL(kinds)
+    taken = {c.lower() for c in new.fieldNames()}
+    keep = [c for c in keep if c.lower() not in taken]
+    name = "text_"
+    while name in {c.lower() for c in keep}:
+        name += "_"
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(name))
+    return source, keep, T.StructType([*source.schema.fields[:-1], *new.fields])
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (multiply and xor-shift rounds)."""
     h = h ^ (h >> U(31))
@@ -124,7 +177,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         return mix(h)
 
 
-def sized(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def sized(table: DataFrame, rows: int = 200_000) -> DataFrame:
     """A stored narrow table, to be broadcast if counting finds no more than so many rows; else a shuffle joins it."""
     from pyspark.sql import functions as F
 
@@ -141,25 +194,42 @@ def slot(col):
     return F.pmod(F.xxhash64(col), F.lit(BITS))
 
 
+def _bitmap(slots: DataFrame, bits: int):
+    """Broadcast of so many bits with those of slots(s) set; executors join the bits of each word."""
+    from pyspark.sql import functions as F
+
+    at = slots.select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s % 64 AS int))").alias("b"))
+    got = at.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, dtype=U)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().view(U)
+    return slots.sparkSession.sparkContext.broadcast(out)
+
+
 def bitmap(df: DataFrame, col: str):
     """Broadcast of BITS bits (512 KB whatever the input) with those of df's values set.
 
     A sieve before an exact join: values that it lets through without need are
     dropped by that join.
     """
+    return _bitmap(df.select(slot(col).alias("s")), BITS)
+
+
+def hash_bitmap(hashes: DataFrame, col: str, most: int = 1 << 26):
+    """The same for a stored table of mixed 64-bit hashes, whose low bits are the place: 16 bits a hash, 8 MB at most."""
     from pyspark.sql import functions as F
 
-    at = df.select(slot(col).alias("s")).select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s % 64 AS int))").alias("b"))
-    out = np.zeros(BITS // 64, dtype=U)
-    for x in at.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[x["w"]] = x["b"] & (2**64 - 1)
-    return df.sparkSession.sparkContext.broadcast(out)
+    bits = min(most, max(1 << 12, 1 << (16 * max(1, hashes.count()) - 1).bit_length()))
+    return _bitmap(hashes.select(F.col(col).bitwiseAND(bits - 1).alias("s")), bits)
 
 
 def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 6] >> (slots & 63).astype(U)) & U(1) != 0
 
 
+def hash_in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return in_bitmap(bits, hashes & (64 * len(bits) - 1))
+
+
 def components(edges: DataFrame, work: str) -> DataFrame | None:
     """(node, root) of every node of edges(a, b): the connected components; None without edges.
 

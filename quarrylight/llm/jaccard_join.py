@@ -17,9 +17,9 @@ no list, group or partner count has a cap. Copies meet once, as one set.
 3. The rest, exactly: a link between different components needs `least` common
    prefix hashes, so hashes held by one component alone are out, then sets with
    fewer other hashes than that, then, by the same rule on half of each set,
-   what merely shares passages. For what is left the lists are merged again:
-   each set puts its T - 1 longest lists aside, pairs from its short lists are
-   candidates, and whole sets decide.
+   what merely shares passages. Sets left over are searched once more, cluster
+   by cluster (DivideSkip: all but the T - 1 longest lists are merged, what they
+   give is probed in the long ones while it can still reach T).
 4. Components of all links; component_id is the least doc_id.
 
 Defined cases: null or empty texts and texts without words have the empty set
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bitmap, components, in_bitmap, mix, saved, shingles, sized, slot, words_of, work_dir
+from .common import U, bitmap, components, hash_bitmap, hash_in_bitmap, in_bitmap, map_arrow, mix, saved, shingles, sized, slot, words_of, work_dir
 
 LOW = 4
 
@@ -68,6 +68,10 @@ class Threshold:
         """The least intersection of a set of n with any partner."""
         return -(-self.num * n // self.den)
 
+    def equal_overlap(self, n: int) -> int:
+        """The least intersection of a set of n with a partner of n or more."""
+        return -(-2 * self.num * n // (self.den + self.num))
+
     def least(self, n: int) -> int:
         """Common hashes that prefix_size guarantees."""
         return max(1, -(-n // 20))
@@ -161,11 +165,14 @@ def signatures(docs: DataFrame, rule: Threshold, k: int) -> DataFrame:
                     ["doc_id", "n", "node", "low", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, low array<long>, prefix array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, low array<long>, prefix array<long>")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int, half: bool = False) -> DataFrame:
-    """node, set array<long> of wanted(node, rep): whole sets, or the lower half of each, hashed again from the texts."""
+    """wanted(node, rep, ...) with the set of each: whole, or its lower half, hashed again from the text of rep.
+
+    docs must not repeat rows. wanted must be stored; it is broadcast if small.
+    """
     bits = bitmap(wanted, "rep")
 
     def run(batches):
@@ -177,8 +184,8 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int, half: bool = False) -
                 nodes = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), nodes, _list_column([s[: -(-len(s) // 2)] if half else s for s in sets])], ["rep", "node", "set"])
 
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", slot("doc_id").alias("slot"), "text").mapInArrow(run, "rep long, node long, set array<long>")
-    return rows.join(wanted.select("rep", "node").distinct(), ["rep", "node"]).select("node", "set")
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", slot("doc_id").alias("slot"), "text")
+    return map_arrow(texts, run, "rep long, node long, set array<long>").join(sized(wanted), ["rep", "node"])
 
 
 def search_groups(members: DataFrame, rule: Threshold) -> DataFrame:
@@ -201,36 +208,165 @@ def search_groups(members: DataFrame, rule: Threshold) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     ordered = members.repartition("center", "salt").sortWithinPartitions("center", "salt", F.desc("head"), "node")
-    return ordered.mapInArrow(run, "a long, b long")
+    return map_arrow(ordered, run, "a long, b long")
+
+
+class Inverted:
+    """Posting lists of some sets, in two arrays; searched by DivideSkip with whole lists at a time."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray) -> None:
+        flat = np.concatenate(sets)
+        doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.lexsort((doc, flat))
+        self.hashes, first = np.unique(flat[order], return_index=True)
+        self.docs, self.first = doc[order], np.append(first, len(flat))
+        self.sizes = sizes
+
+    def search(self, s: np.ndarray, n: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, intersections) of those in t or more lists of s.
+
+        A document in t lists is in one at least of all but t - 1: the longest
+        ones are put aside, the others merged, and what they give is probed in
+        the long ones while it can still reach t.
+        """
+        at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
+        at = at[self.hashes[at] == s]
+        lo, hi = self.first[at], self.first[at + 1]
+        if len(at) < t:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        order = np.argsort(hi - lo, kind="stable")
+        short, long = order[: len(order) - t + 1], order[len(order) - t + 1 :]
+        docs, count = np.unique(np.concatenate([self.docs[lo[i] : hi[i]] for i in short]), return_counts=True)
+        for done, i in enumerate(long):
+            may = count + (len(long) - done) >= t
+            if not may.all():
+                docs, count = docs[may], count[may]
+            if not len(docs):
+                break
+            held = self.docs[lo[i] : hi[i]]
+            p = np.minimum(np.searchsorted(held, docs), len(held) - 1)
+            count = count + (held[p] == docs)
+        enough = count >= t
+        return docs[enough], count[enough]
+
+
+def search_clusters(members: DataFrame, rule: Threshold) -> DataFrame:
+    """Links (a, b) between components from members(cluster, part, kind 0 indexed or 1 asking, node, n, comp, set).
+
+    A query takes partners of its own size or larger, so its overlap must reach
+    what two sets of its size need. Of the links that a part finds, those that
+    join nothing new are left out.
+    """
 
+    def run(batches):
+        now, held, index, up = None, [], None, {}
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
-    """Links (a, b) among candidate pairs, by binary probes of one whole set in the other."""
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
 
-    def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
-                b = whole.slice(lo, 64)
-                keep = []
-                for x, y in zip(b.column("set").to_pylist(), b.column("other").to_pylist(), strict=True):
-                    x, y = np.sort(np.array(x, dtype=np.int64)), np.sort(np.array(y, dtype=np.int64))
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    keep.append(rule.links(int((y[at] == x).sum()), len(x), len(y)))
-                yield b.select(["a", "b"]).filter(pa.array(keep))
+                a, b = [], []
+                for x in whole.slice(lo, 64).to_pylist():
+                    if (x["cluster"], x["part"]) != now:
+                        now, held, index, up = (x["cluster"], x["part"]), [], None, {}
+                    if x["kind"] == 0:
+                        held.append((x["node"], x["n"], x["comp"], np.array(x["set"], dtype=np.int64)))
+                        continue
+                    if index is None:
+                        index = Inverted([h[3] for h in held], np.array([h[1] for h in held])) if held else False
+                    if not index:
+                        continue
+                    n = x["n"]
+                    docs, count = index.search(np.array(x["set"], dtype=np.int64), n, rule.equal_overlap(n))
+                    for k, c in zip(docs.tolist(), count.tolist(), strict=True):
+                        node, m, comp, _ = held[k]
+                        if m >= n and comp != x["comp"] and rule.links(c, n, m) and top(comp) != top(x["comp"]):
+                            up[top(comp)] = top(x["comp"])
+                            a.append(x["node"])
+                            b.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    ordered = members.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "kind", "node")
+    return map_arrow(ordered, run, "a long, b long")
 
-    own = sets.select(F.col("node").alias("a"), "set")
-    other = sets.select(F.col("node").alias("b"), F.col("set").alias("other"))
-    return pairs.join(own, "a").join(other, "b").select("a", "b", "set", "other").mapInArrow(run, "a long, b long")
 
+def across(sets: DataFrame, col: str, path: str):
+    """Bitmap of the hashes that several components hold, one of them with a set that asks, from sets(col, comp, asks)."""
+    rows = sets.select("comp", "asks", F.explode(col).alias("h"))
+    ends = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("asks").alias("z"))
+    return hash_bitmap(saved(ends.filter("x <> y AND z").select("h"), path), "h")
 
-def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, part: int = 500) -> DataFrame:
+
+def sieve(sets: DataFrame, col: str, bits, keep_set: bool = False) -> DataFrame:
+    """sets(node, n, comp, col) with held, the number of hashes that the bitmap has; with keep_set cut down to these.
+
+    The bitmap may have some more hashes than it should. They are kept or
+    dropped in all sets alike, so counts are bounds from above and common
+    hashes are complete.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                lists = b.column(col)
+                flat = lists.flatten().to_numpy()
+                hit = hash_in_bitmap(bits.value, flat)
+                total = np.concatenate([[0], np.cumsum(hit)])
+                off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                held = np.diff(total[off])
+                cols = [b.column(c) for c in ("node", "n", "comp")] + [pa.array(held, pa.int64())]
+                if keep_set:
+                    cols.append(pa.ListArray.from_arrays(pa.array(total[off].astype(np.int32)), pa.array(flat[hit])))
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["node", "n", "comp", "held"] + ["set"] * keep_set
+    return map_arrow(sets.select("node", "n", "comp", col), run, "node long, n long, comp long, held long" + ", set array<long>" * keep_set)
+
+
+def last_search(docs: DataFrame, few: DataFrame, rule: Threshold, k: int, work: str, part: int) -> DataFrame:
+    """Links between the components of few(node, n, comp, rep), which hold what the filters left.
+
+    Of two linked sets the smaller one asks. Whole sets are cut down to hashes
+    that several components hold, one of them with a set large enough to ask;
+    sets without enough of these go, three times over. Sets that share such
+    hashes form clusters; large ones are indexed in parts of about `part` sets,
+    each asked by all.
+    """
+    least, ask = F.expr(f"-floor(-{rule.num} * n / {rule.den})"), F.expr(f"-floor(-2 * {rule.num} * n / {rule.den + rule.num})")
+    sets = fetch_sets(docs, few, k)
+    sets = saved(sets.select("node", "n", "comp", "set", F.lit(True).alias("asks")), f"{work}/whole")
+    for i in range(3):
+        cut = sieve(sets, "set", across(sets, "set", f"{work}/across-{i}"), keep_set=True).filter(F.col("held") >= least)
+        sets = saved(cut.select("node", "n", "comp", "set", (F.col("held") >= ask).alias("asks")), f"{work}/cut-{i}")
+    rows = sets.select("node", F.explode("set").alias("h"))
+    owner = rows.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("h", "b")
+    cluster = components(rows.join(owner, "h").select(F.col("node").alias("a"), "b"), f"{work}/clusters")
+    if cluster is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    sets = saved(sets.join(cluster, "node").withColumnRenamed("root", "cluster"), f"{work}/clustered")
+    parts = sets.groupBy("cluster").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    sets = sets.join(parts, "cluster")
+    names = ["cluster", "part", "kind", "node", "n", "comp", "set"]
+    indexed = sets.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "kind": F.lit(0)}).select(*names)
+    asking = sets.filter("asks").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "kind": F.lit(1)}).select(*names)
+    return search_clusters(indexed.unionByName(asking), rule)
+
+
+def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, part: int = 500, cluster_part: int = 4_000) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, n_links (links verified on the set's way to its class).
 
-    part: sets in one part of a large group, about.
+    part, cluster_part: sets in one part of a large group or cluster, about.
     """
     spark, rule, work = docs.sparkSession, Threshold(num, den), work_dir(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text")
     signed = saved(signatures(docs, rule, k), f"{work}/signed")
+    again = signed.filter("doc_id IS NOT NULL AND n > 0").groupBy("doc_id", "node").count().filter("count > 1")
+    texts = docs if again.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
     nodes = saved(
         signed.filter("n > 0").select("doc_id", "n", "node", "low").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low")),
         f"{work}/nodes",
@@ -243,43 +379,26 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
     heads = parts.select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(1).alias("head"), F.col("center").alias("node"))
     rest = pairs.join(parts, "center").select("center", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(0).alias("head"), "node")
     members = heads.unionByName(rest)
-    wanted = saved(nodes.join(members.select("node").distinct(), "node").select("node", "rep"), f"{work}/wanted")
-    links = saved(search_groups(members.join(fetch_sets(docs, wanted, k), "node"), rule), f"{work}/links")
+    members = saved(members.join(nodes.select("node", "rep"), "node"), f"{work}/members")
+    links = saved(search_groups(fetch_sets(texts, members, k), rule), f"{work}/links")
 
     # 3. links between the components of these
     root = components(links, f"{work}/first")
     comp = sized(root) if root is not None else spark.createDataFrame([], "node long, root long")
-    held = signed.filter("n > 0").select("node", "n", "prefix").join(comp, "node", "left").select("node", "n", "prefix", F.coalesce("root", "node").alias("comp"))
-
-    def across(rows: DataFrame, name: str) -> DataFrame:
-        """Of rows(h, comp, ...), those whose hash more than one component holds."""
-        ends = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
-        return rows.join(sized(saved(ends, f"{work}/{name}")), "h")
-
+    held = signed.filter("n > 0").select("node", "n", "prefix").join(comp, "node", "left")
+    held = held.select("node", "n", "prefix", F.coalesce("root", "node").alias("comp"), F.lit(True).alias("asks"))
     n = F.col("n")
-    least = F.greatest(F.lit(1), F.ceil(n / 20))
-    hashes = held.select("node", "n", "comp", F.explode("prefix").alias("h"))
-    open_ = across(hashes, "across").distinct().groupBy("node", "n", "comp").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("node", "comp", "n")
-    open_ = saved(open_.join(nodes.filter("rep IS NOT NULL").select("node", "rep"), "node"), f"{work}/open")
+    open_ = sieve(held, "prefix", across(held, "prefix", f"{work}/across")).filter(F.col("held") >= F.greatest(F.lit(1), F.ceil(n / 20)))
+    open_ = open_.select("node", "n", "comp").distinct().join(nodes.filter("rep IS NOT NULL").select("node", "rep"), "node")
+    open_ = saved(open_, f"{work}/open")
     more = []
     if open_.count():
-        half = saved(fetch_sets(docs, open_.select("node", "rep"), k, half=True), f"{work}/half").distinct()
-        rows = half.join(open_, "node").select("node", "n", "comp", "rep", F.explode("set").alias("h"))
-        rows = across(rows, "across-half")
+        half = saved(fetch_sets(texts, open_, k, half=True).withColumn("asks", F.lit(True)), f"{work}/half")
         need = F.greatest(F.lit(1), F.ceil(n / 2) - n + F.expr(f"-floor(-{num} * n / {den})")).cast("long")
-        few = saved(rows.groupBy("node", "rep").agg(F.count("*").alias("c"), F.first(need).alias("t")).filter("c >= t").select("node", "rep", "t"), f"{work}/left")
+        left = sieve(half, "set", across(half, "set", f"{work}/across-half")).filter(F.col("held") >= need)
+        few = saved(left.join(open_.select("node", "rep"), "node").select("node", "n", "comp", "rep"), f"{work}/left")
         if few.count():
-            rows = saved(rows.join(few.select("node", "t"), "node").select("node", "n", "comp", "h", "t"), f"{work}/lists")
-            size = rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-            # a partner may be smaller and so need fewer common hashes: lists go aside by the least need of any
-            own = rows.join(size, "h").groupBy("node", "n", "comp", "t").agg(F.array_sort(F.collect_list(F.struct("size", "h"))).alias("s"))
-            aside = F.floor(F.col("t") * num / den) - 1
-            short = own.select("node", "n", "comp", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.size("s") - F.greatest(F.lit(0), aside).cast("int")))).alias("s")).select("node", "n", "comp", F.col("s.h").alias("h"))
-            y = rows.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"), "h")
-            cand = short.join(y, "h").filter(f"comp <> other AND {den} * least(n, m) >= {num} * greatest(n, m)")
-            cand = saved(cand.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), f"{work}/candidates")
-            sets = saved(fetch_sets(docs, few.select("node", "rep"), k), f"{work}/sets").distinct()
-            more.append(saved(verify_pairs(cand, sets, rule), f"{work}/more"))
+            more.append(saved(last_search(texts, few, rule, k, work, cluster_part), f"{work}/more"))
     for x in more:
         links = links.unionByName(x)
 
