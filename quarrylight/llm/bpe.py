@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import span_hashes
+from .common import map_arrow, span_hashes, with_text
 
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -333,30 +333,33 @@ def read_spec(path: str) -> bytes:
         return f.read()
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all, unless named) plus out: the ids of text as BINARY.
+def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """The kept columns (all, unless named) plus out: the ids of text as BINARY; with decoded also the text decoded from them.
 
     tokenizer_path is read on the driver; its few MB are broadcast.
     """
-    keep = [c for c in docs.columns if c != out] if keep is None else keep
+    source, keep, schema = with_text(docs, docs.columns if keep is None else keep, text, f"`{out}` binary" + (f", `{decoded}` string" if decoded else ""))
+    names = schema.fieldNames()
     data = read_spec(tokenizer_path)
     spec, key = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = source.drop("_text").withColumn(out, F.lit(None).cast("binary")).schema
 
     def run(batches):
         def make():
             v = Vocabulary(spec.value)
-            return WordEncoder(v.special, v.merge, cutter(library(spec.value)))
+            return WordEncoder(v.special, v.merge, cutter(library(spec.value))), v
 
-        enc = once(f"bpe-{key}", make)
+        enc, v = once(f"bpe-{key}", make)
         for b in slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             for lo, hi in chunks(texts):
                 ids, counts = enc.encode(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), binary(ids.astype("<u4"), counts)], [*keep, out])
+                cols = [*(c.slice(lo, hi - lo) for c in b.columns[:-1]), binary(ids.astype("<u4"), counts)]
+                if decoded:
+                    ends = np.cumsum(counts)
+                    cols.append(pa.array([v.decode(ids[e - n : e]).decode("utf-8", "replace") for n, e in zip(counts, ends, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def bpe_decode(tokenizer_path: str, spark) -> Callable[[Column], Column]:
@@ -386,8 +389,7 @@ def op1_bpe(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = bpe_encode(docs, path, keep=["doc_id"])
-    return coded.withColumn("decoded", bpe_decode(path, spark)("ids")).select(
+    return bpe_encode(docs, path, keep=["doc_id"], decoded="decoded").select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
