@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U, bitmap, in_bitmap, mix, saved, shingles, sized, slot, words_of, work_dir
+from .common import BASE, U, bitmap, hash_bitmap, hash_in_bitmap, in_bitmap, map_arrow, mix, saved, shingles, sized, slot, words_of, work_dir
 
 K, W = 6, 12
 GAP_COST = 0.1
@@ -82,7 +82,25 @@ def seed_table(docs: DataFrame) -> DataFrame:
                     ["doc_id", "node", "n_words", "h", "pos"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n_words long, h array<long>, pos array<int>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, node long, n_words long, h array<long>, pos array<int>")
+
+
+def shared_seeds(lists: DataFrame, owned: DataFrame) -> DataFrame:
+    """node, h, pos of the seeds in a bitmap of owned(h); an exact join drops those let through without need."""
+    bits = hash_bitmap(owned, "h")
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                h, pos = b.column("h"), b.column("pos")
+                sizes = np.diff(h.offsets.to_numpy())
+                flat = h.flatten().to_numpy()
+                hit = hash_in_bitmap(bits.value, flat)
+                node = np.repeat(b.column("node").to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(flat[hit]), pa.array(pos.flatten().to_numpy()[hit])], ["node", "h", "pos"])
+
+    return map_arrow(lists, run, "node long, h long, pos int")
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -156,7 +174,7 @@ def chain_matches(matches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(done(), schema=kinds)
 
     ordered = matches.repartition("node", "owner").sortWithinPartitions("node", "owner", "pos", "owner_pos")
-    return ordered.mapInArrow(run, "node long, owner long, xs array<int>, ys array<int>")
+    return map_arrow(ordered, run, "node long, owner long, xs array<int>, ys array<int>")
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -237,7 +255,7 @@ def align_chains(docs: DataFrame, chains: DataFrame, nodes: DataFrame) -> DataFr
                 words = [words_of(t)[0] for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([node_of(x) for x in words], pa.int64()), _lists([x.astype(np.uint32).view(np.int32) for x in words], np.int32)], ["doc_id", "node", "words"])
 
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", slot("doc_id").alias("slot"), "text").mapInArrow(fetch, "doc_id long, node long, words array<int>")
+    texts = map_arrow(docs.filter("doc_id IS NOT NULL").select("doc_id", slot("doc_id").alias("slot"), "text"), fetch, "doc_id long, node long, words array<int>")
     texts = texts.join(wanted, ["doc_id", "node"]).select("node", "words")
     parts = spans.join(texts, "node").select("id", "side", "lo", F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("words"))
     a = parts.filter("side = 0").select("id", F.col("lo").alias("lo_a"), F.col("words").alias("a"))
@@ -255,7 +273,7 @@ def align_chains(docs: DataFrame, chains: DataFrame, nodes: DataFrame) -> DataFr
                 cols = list(zip(*rows, strict=True)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], names)
 
-    return both.mapInArrow(run, "node long, owner long, first long, last long, owner_first long, owner_last long, identity double")
+    return map_arrow(both, run, "node long, owner long, first long, last long, owner_first long, owner_last long, identity double")
 
 
 def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -268,10 +286,10 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     table = saved(seed_table(docs), f"{work}/seeds")
     known = table.filter("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "node", "n_words")
     nodes = saved(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{work}/nodes")
-    seeds = table.filter("doc_id IS NOT NULL").select("node", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("node", "s.h", "s.pos")
-    owned = seeds.groupBy("h").agg(F.min("node").alias("owner"), F.max("node").alias("top")).filter("owner <> top").select("h", "owner")
-    owned = sized(saved(owned, f"{work}/owned"))
-    held = saved(seeds.join(owned, "h"), f"{work}/held")
+    lists = table.filter("doc_id IS NOT NULL AND node IS NOT NULL").select("node", "h", "pos")
+    owned = lists.select("node", F.explode("h").alias("h")).groupBy("h").agg(F.min("node").alias("owner"), F.max("node").alias("top"))
+    owned = saved(owned.filter("owner <> top").select("h", "owner"), f"{work}/owned")
+    held = saved(shared_seeds(lists, owned).join(sized(owned), "h"), f"{work}/held")
     own = held.filter("node = owner").groupBy("h").agg(F.min("pos").alias("owner_pos"))
     matches = held.filter("node <> owner").distinct().join(own, "h").select("node", "owner", "pos", "owner_pos")
     chains = chain_matches(matches).filter(f"size(xs) > 1 AND element_at(xs, -1) - element_at(xs, 1) >= {K}")
@@ -300,9 +318,9 @@ def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -> Da
     Copies of a document that was cut would lose the passage as well; they are
     passages of their own, as a whole.
     """
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_spans"))
+    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__spans"))
     spans = sized(saved(spans, work_dir(docs.sparkSession, "spans")), 100_000)
-    marked = docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans")
+    marked = docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans")
     names = docs.columns
 
     def run(batches):
@@ -310,7 +328,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -> Da
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 texts, keep = b.column(text).to_pylist(), []
-                for i, (t, s) in enumerate(zip(texts, b.column("_spans").to_pylist(), strict=True)):
+                for i, (t, s) in enumerate(zip(texts, b.column("__spans").to_pylist(), strict=True)):
                     if s:
                         raw = t.encode("utf-8", "surrogatepass")
                         _, start, end = words_of(t)
@@ -325,7 +343,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -> Da
                 cols = [pa.array(texts, pa.string()) if c == text else b.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
-    return marked.mapInArrow(run, docs.schema)
+    return map_arrow(marked, run, docs.schema)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
