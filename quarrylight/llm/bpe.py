@@ -36,7 +36,7 @@ from .common import map_arrow, span_hashes, with_text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 CHUNK_CHARS = 400_000
-TABLE_WORDS = 400_000
+TABLE_WORDS = 900_000
 SLOTS = (1 << 20) - 3
 
 
@@ -160,13 +160,26 @@ class WordEncoder:
     def reset(self) -> None:
         self.keys = np.zeros(2 * SLOTS, dtype=np.uint64)
         self.slot = np.zeros(2 * SLOTS, dtype=np.int32)
-        self.flat = np.array(list(self.special.values()), dtype=np.int32)
-        self.off = np.arange(len(self.special) + 1, dtype=np.int64)
+        self.flat, self.off = np.empty(1 << 16, dtype=np.int32), np.zeros(1 << 14, dtype=np.int64)
+        self.n_words = 0
+        self.append(np.array(list(self.special.values()), dtype=np.int32), np.ones(len(self.special), dtype=np.int64))
         if self.special:
             cp = code_points("".join(self.special))
             ends = np.cumsum([len(w) for w in self.special])
             self.store(self.hashes(cp, np.concatenate([[0], ends[:-1]]), ends), np.arange(len(self.special)))
 
+    def append(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of the words added; the arrays grow by doubling."""
+        n, at = self.n_words, int(self.off[self.n_words])
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(counts) + 1 > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        self.flat[at : at + len(ids)] = ids
+        self.off[n + 1 : n + 1 + len(counts)] = at + np.cumsum(counts)
+        self.n_words = n + len(counts)
+        return np.arange(n, self.n_words)
+
     @staticmethod
     def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return span_hashes(cp, start, end) | np.uint64(1)
@@ -207,7 +220,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each has."""
-        if len(self.off) > TABLE_WORDS:
+        if self.n_words > TABLE_WORDS:
             self.reset()
         texts = [x or "" for x in texts]
         joined = "".join(texts)
@@ -242,9 +255,7 @@ class WordEncoder:
             fresh, where, back = np.unique(h[new], return_index=True, return_inverse=True)
             where = new[where]
             ids, counts = self.fill([joined[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
-            place = len(self.off) - 1 + np.arange(len(fresh))
-            self.flat = np.concatenate([self.flat, ids])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(counts)])
+            place = self.append(ids, counts)
             self.store(fresh, place)
             at[new] = place[back]
         lengths = self.off[at + 1] - self.off[at]

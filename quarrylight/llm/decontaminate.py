@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ragged
-from .common import ALNUM, words_of
+from .common import ALNUM, map_arrow, with_text, words_of
 
 WINDOW = 10
 SAMPLE = 16
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
@@ -220,12 +220,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
     With clean, also cleaned: the text without its spans (from the first byte
     of a span's first word to the last of its last).
     """
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     blocks = window_blocks(benchmark, block_bytes)
     kinds = "n_words long, n_hit long, items array<long>, spans array<struct<first:long,last:long>>" + (", cleaned string" if clean else "")
-    schema = source.drop("_text").schema
-    for f in docs.sparkSession.createDataFrame([], kinds).schema.fields:
-        schema = schema.add(f)
+    source, keep, schema = with_text(docs, keep, text, kinds)
     names = schema.fieldNames()
     span_type = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
@@ -280,7 +277,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
         if held and sum(b.num_rows for b in held):
             yield shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

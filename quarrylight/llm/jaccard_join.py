@@ -86,7 +86,7 @@ class Threshold:
 class Leaders:
     """Inverted lists over the sets that lead, as sorted tuples of leader numbers."""
 
-    def __init__(self, rule: Threshold, most: int = 2_000_000) -> None:
+    def __init__(self, rule: Threshold, most: int = 400_000) -> None:
         self.rule, self.most = rule, most
         self.clear()
 
@@ -357,7 +357,7 @@ def last_search(docs: DataFrame, few: DataFrame, rule: Threshold, k: int, work:
     return search_clusters(indexed.unionByName(asking), rule)
 
 
-def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, part: int = 500, cluster_part: int = 4_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, part: int = 500, cluster_part: int = 2_000) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, n_links (links verified on the set's way to its class).
 
     part, cluster_part: sets in one part of a large group or cluster, about.

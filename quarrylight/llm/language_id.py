@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow, with_text
+
 DIM = 4096
 LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, dtype=np.uint8)
@@ -112,8 +114,7 @@ def learn(docs: DataFrame, usable: Column, max_rows: int = 400) -> Model:
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns plus lang_pred string, score double, ambiguous boolean."""
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = source.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "ambiguous": F.lit(False)}).schema
+    source, keep, schema = with_text(docs, keep, text, "lang_pred string, score double, ambiguous boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -131,7 +132,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                         lang[i] = m.langs[k]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang), pa.array(score), pa.array(unsure)], [*keep, "lang_pred", "score", "ambiguous"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:

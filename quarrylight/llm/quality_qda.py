@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import map_arrow, with_text, words_of
 
 NAMES = (
     "log_words", "mean_word", "spread_word", "distinct_words", "top_word", "short_words", "upper", "digits",
@@ -121,12 +121,8 @@ class Discriminant:
 
 def with_statistics(docs: DataFrame, keep: list[str], finish, kinds: str, text: str = "text") -> DataFrame:
     """Kept columns plus the columns that finish(matrix of statistics) gives."""
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    extra = docs.sparkSession.createDataFrame([], kinds).schema
-    schema = source.drop("_text").schema
-    for f in extra.fields:
-        schema = schema.add(f)
-    names = [*keep, *extra.fieldNames()]
+    source, keep, schema = with_text(docs, keep, text, kinds)
+    names = schema.fieldNames()
 
     def run(batches):
         for whole in batches:
@@ -135,7 +131,7 @@ def with_statistics(docs: DataFrame, keep: list[str], finish, kinds: str, text:
                 x = np.stack([statistics(t) for t in b.column(b.num_columns - 1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *finish(x)], names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, max_rows: int = 8_000) -> Discriminant:

@@ -33,6 +33,7 @@ class Rule:
     fails: str
 
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "base_failed", "rejected_by", "kept")
 BASE = (
     Rule("too_few_words", "n_words < 20"),
     Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
@@ -51,41 +52,41 @@ def _words(text: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper (long)."""
+    """docs (columns of these names give way) plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper (long)."""
     n = 8
     t = F.coalesce(F.col(text), F.lit(""))
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in STATISTICS and not c.startswith("__qr_")]
     a = docs.select(
-        *own, t.alias("_t"), F.transform(_words(t), lambda w: F.xxhash64(w)).alias("_h"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
+        *own, t.alias("__qr_t"), F.transform(_words(t), lambda w: F.xxhash64(w)).alias("__qr_h"),
+        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__qr_lines"),
     )
-    win = F.when(F.size("_h") >= n, F.transform(F.sequence(F.lit(1), F.size("_h") - (n - 1)), lambda i: F.xxhash64(F.slice("_h", i, n)))).otherwise(
+    win = F.when(F.size("__qr_h") >= n, F.transform(F.sequence(F.lit(1), F.size("__qr_h") - (n - 1)), lambda i: F.xxhash64(F.slice("__qr_h", i, n)))).otherwise(
         F.array().cast("array<long>")
     )
-    b = a.select(*own, "_t", F.size("_h").alias("_n"), "_lines", win.alias("_w"))
+    b = a.select(*own, "__qr_t", F.size("__qr_h").alias("__qr_n"), "__qr_lines", win.alias("__qr_w"))
     # only texts in which some window repeats pay for the sort
-    pairs = F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    b = b.select(*own, "_t", "_n", "_lines", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), pairs).alias("_s"))
+    pairs = F.sort_array(F.transform("__qr_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    b = b.select(*own, "__qr_t", "__qr_n", "__qr_lines", F.when(F.size(F.array_distinct("__qr_w")) < F.size("__qr_w"), pairs).alias("__qr_s"))
     twice = F.filter(
         F.transform(
-            "_s",
+            "__qr_s",
             lambda x, k: F.when(
-                (x["h"] == F.get(F.col("_s"), k - 1)["h"]) | (x["h"] == F.get(F.col("_s"), k + 1)["h"]), x["i"]
+                (x["h"] == F.get(F.col("__qr_s"), k - 1)["h"]) | (x["h"] == F.get(F.col("__qr_s"), k + 1)["h"]), x["i"]
             ),
         ),
         lambda x: x.isNotNull(),
     )
-    c = b.select(*own, "_t", "_n", "_lines", F.sort_array(twice).alias("_p"))
+    c = b.select(*own, "__qr_t", "__qr_n", "__qr_lines", F.sort_array(twice).alias("__qr_p"))
     covered = F.aggregate(
-        "_p",
+        "__qr_p",
         F.struct(F.lit(-1).alias("end"), F.lit(0).alias("sum")),
         lambda acc, i: F.struct((i + n).alias("end"), (acc["sum"] + F.lit(n) - F.greatest(F.lit(0), acc["end"] - i)).alias("sum")),
     )["sum"]
-    gone = lambda keep: F.length(F.regexp_replace("_t", keep, ""))
+    gone = lambda keep: F.length(F.regexp_replace("__qr_t", keep, ""))
     long = lambda x, name: x.cast("long").alias(name)
     return c.select(
-        *own, long(F.col("_n"), "n_words"), long(gone(SPACE), "word_chars"), long(gone(r"[^#*$%&|<>]+"), "n_symbols"),
-        long(F.size("_lines"), "n_lines"), long(F.size("_lines") - F.size(F.array_distinct("_lines")), "n_dup_lines"),
+        *own, long(F.col("__qr_n"), "n_words"), long(gone(SPACE), "word_chars"), long(gone(r"[^#*$%&|<>]+"), "n_symbols"),
+        long(F.size("__qr_lines"), "n_lines"), long(F.size("__qr_lines") - F.size(F.array_distinct("__qr_lines")), "n_dup_lines"),
         long(F.coalesce(covered, F.lit(0)), "n_repeat_words"), long(gone(r"[^A-Z]+"), "n_upper"),
     )
 

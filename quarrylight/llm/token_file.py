@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordEncoder, binary, chunks, cutter, library, library_fill, once, ragged, read_spec, slices
-from .common import remove, saved, work_dir
+from .common import map_arrow, remove, saved, work_dir
 
 SEGMENT = 512
 BLOCK_IDS = 65_536
@@ -83,24 +83,29 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, bytes per document, bit offset of each id within its document); documents begin at bytes."""
-    size = lengths[ids].astype(np.int64)
+def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, bytes per document, bit offset of the ids at marks within their documents); documents begin at bytes."""
+    size = lengths.astype(np.int64)[ids]
+    ends = np.cumsum(size)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    bits = np.concatenate([[0], np.cumsum(size)])
-    per_doc = (np.diff(bits[bounds]) + 7) // 8
+    bits = np.concatenate([[0], ends])[bounds]
+    per_doc = (np.diff(bits) + 7) // 8
     doc_byte = np.concatenate([[0], np.cumsum(per_doc)])
-    shift = doc_byte[:-1] * 8 - bits[bounds[:-1]]
-    at = bits[:-1] + np.repeat(shift, counts)
     out = np.zeros(int(doc_byte[-1]) // 4 + 3, dtype=np.uint64)
-    if len(ids):
-        cell = at >> 5
-        value = codes[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        total = np.add.reduceat(value, first)  # bits are disjoint
-        out[cell[first]] += total >> np.uint64(32)
-        out[cell[first] + 1] += total & np.uint64(0xFFFFFFFF)
-    return out.astype(">u4").view(np.uint8)[: doc_byte[-1]], per_doc, at - np.repeat(doc_byte[:-1] * 8, counts)
+    if not len(ids):
+        return out.view(np.uint8)[:0], per_doc, marks
+    ends += np.repeat(doc_byte[:-1] * 8 - bits[:-1], counts)
+    at = ends - size
+    cell = at >> 5
+    # the last bit of a code stands (cell + 2) * 32 - end bits above the lowest of its two words
+    value = codes.astype(np.uint64)[ids] << (((cell + 2) << 5) - ends).view(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    total = np.add.reduceat(value, first)  # bits are disjoint
+    cell = cell[first]
+    out[cell] += total >> np.uint64(32)
+    out[cell + 1] += total & np.uint64(0xFFFFFFFF)
+    doc = np.searchsorted(bounds, marks, side="right") - 1
+    return out.astype(">u4").view(np.uint8)[: doc_byte[-1]], per_doc, at[marks] - doc_byte[doc] * 8
 
 
 def decode_table(lengths: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +157,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFra
                 counts = counts + 1
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(counts), binary(ids.astype(kind), counts)], ["doc_id", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, ids binary")
 
 
 def _ids(batch: pa.RecordBatch, kind: str) -> np.ndarray:
@@ -173,7 +178,7 @@ def count_ids(stored: DataFrame, kind: str) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    return stored.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_arrow(stored.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, max_len: int = 16, range_bytes: int = 32 << 20) -> str:
@@ -205,15 +210,15 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
                 b = whole.slice(lo, 512)
                 raw = b.column("ids").to_pylist()
                 n = b.column("n").to_numpy()
-                data, per_doc, bit = pack(_ids(b, kind), n, size_of, codes)
                 segs = (n + SEGMENT - 1) // SEGMENT
                 first = ragged(np.zeros(len(n), dtype=np.int64), segs) * SEGMENT + np.repeat(np.cumsum(n) - n, segs)
+                data, per_doc, bit = pack(_ids(b, kind), n, size_of, codes, first)
                 seg_off = np.concatenate([[0], np.cumsum(segs)])
                 ids = b.column("doc_id")
                 key = np.array(ids.fill_null(0)).astype(np.float64)
                 to = np.where(np.array(ids.is_null()), 0, np.searchsorted(cuts, key, side="right"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to.astype(np.int32)), ids, pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(n), binary(data, per_doc), pa.ListArray.from_arrays(pa.array(seg_off.astype(np.int32)), pa.array(bit[first]))],
+                    [pa.array(to.astype(np.int32)), ids, pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(n), binary(data, per_doc), pa.ListArray.from_arrays(pa.array(seg_off.astype(np.int32)), pa.array(bit))],
                     ["range", "doc_id", "tie", "n", "payload", "seg_bits"],
                 )
 
@@ -247,9 +252,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
 
     layout = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("seg_sizes", pa.list_(pa.int32())), ("seg_bits", pa.list_(pa.int64())), ("payload", pa.binary())])
     kinds = "range int, block long, first long, n long, doc_ids array<long>, doc_sizes array<long>, seg_sizes array<int>, seg_bits array<long>, payload binary"
-    parts = stored.mapInArrow(coded, "range int, doc_id long, tie long, n long, payload binary, seg_bits array<long>")
+    parts = map_arrow(stored, coded, "range int, doc_id long, tie long, n long, payload binary, seg_bits array<long>")
     ordered = parts.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "tie")
-    ordered.mapInArrow(blocks, kinds).write.parquet(f"{path}/blocks")
+    map_arrow(ordered, blocks, kinds).write.parquet(f"{path}/blocks")
     remove(spark, store)
     return path
 
@@ -285,7 +290,7 @@ def read_token_file(spark, path: str) -> DataFrame:
         bases.append((r, base))
         base += totals[r]
     placed = stored.join(spark.createDataFrame(bases, "range int, base long"), "range")
-    return placed.select("base", "first", "doc_ids", "doc_sizes", "seg_sizes", "seg_bits", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return map_arrow(placed.select("base", "first", "doc_ids", "doc_sizes", "seg_sizes", "seg_bits", "payload"), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_file(spark, sf_dir: str) -> DataFrame:
