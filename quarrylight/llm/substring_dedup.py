@@ -143,7 +143,11 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def chain_matches(matches: DataFrame) -> DataFrame:
-    """node, owner, xs, ys of every chain, from matches(node, owner, pos, owner_pos)."""
+    """node, owner, xs, ys of every chain of two matches at least that span K words, from matches(node, owner, pos, owner_pos).
+
+    A line that recurs inside a document matches its owner's first occurrence
+    again and again; such matches alone make no chain.
+    """
     kinds = pa.schema([("node", pa.int64()), ("owner", pa.int64()), ("xs", pa.list_(pa.int32())), ("ys", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -151,7 +155,8 @@ def chain_matches(matches: DataFrame) -> DataFrame:
 
         def done():
             p = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
-            return [{"node": key[0], "owner": key[1], "xs": p[c, 0].tolist(), "ys": p[c, 1].tolist()} for c in chain(p[:, 0], p[:, 1])]
+            found = (p[c] for c in chain(p[:, 0], p[:, 1]) if len(c) > 1)
+            return [{"node": key[0], "owner": key[1], "xs": c[:, 0].tolist(), "ys": c[:, 1].tolist()} for c in found if c[-1, 0] - c[0, 0] >= K]
 
         for b in batches:
             node, owner, x, y = (b.column(c).to_numpy() for c in ("node", "owner", "pos", "owner_pos"))
@@ -292,7 +297,7 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     held = saved(shared_seeds(lists, owned).join(sized(owned), "h"), f"{work}/held")
     own = held.filter("node = owner").groupBy("h").agg(F.min("pos").alias("owner_pos"))
     matches = held.filter("node <> owner").distinct().join(own, "h").select("node", "owner", "pos", "owner_pos")
-    chains = chain_matches(matches).filter(f"size(xs) > 1 AND element_at(xs, -1) - element_at(xs, 1) >= {K}")
+    chains = chain_matches(matches)
     chains = saved(chains.withColumn("id", F.xxhash64("node", "owner", F.element_at("xs", 1), F.element_at("ys", 1), F.element_at("xs", -1))), f"{work}/chains")
     aligned = saved(align_chains(docs, chains, nodes), f"{work}/aligned")
 
