@@ -495,6 +495,13 @@ def _(spark, sf_dir):
     return syntax_nodes(s).select("path", "type", "node_id", "parent_id", "dotted")
 
 
+@query("ast_nodes_all")
+def _(spark, sf_dir):
+    from .operators.syntax import syntax_nodes
+
+    return syntax_nodes(ast_sources(spark, sf_dir)).select("path", "type", "node_id", "parent_id", "dotted")
+
+
 TAINT_EXPR = "concat('var q = location.hash;', CASE o_orderkey % 3 WHEN 0 THEN 'el.innerHTML = q;' WHEN 1 THEN 'eval(q);' ELSE 'log(q);' END)"
 
 
