@@ -73,3 +73,18 @@ def test_odd_rows_pass_all_stages(spark):
         out = stage(spark, docs, D)
         assert out.count() == (4 if name == "n-gram Jaccard join" else 5)
         assert stage(spark, docs.limit(0), D).count() == 0
+
+
+def test_documents_that_share_an_id_stay(spark):
+    import random
+
+    rnd = random.Random(4)
+    prose = lambda n: " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(n))
+    a, b, c, run = prose(80), prose(90), prose(70), prose(60)
+    rows = [(1, a), (2, a + " x"), (2, b), (2, b), (3, c), (3, run + " " + prose(20)), (4, prose(20) + " " + run), (None, prose(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in p.one_of_each_class(spark, docs, D).collect())
+    assert got == sorted((d or 0, t) for d, t in set(rows) - {rows[1]})
+    cut = p.cut_repeats(spark, docs.filter("doc_id >= 3"), D).collect()
+    assert sorted(r.doc_id for r in cut) == [3, 3, 4] and c in [r.text for r in cut]
+    assert sum(run in r.text for r in cut) == 1
