@@ -77,10 +77,10 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids (little-endian unsigned 32-bit) of every text."""
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit) of every text, and the digest of the text decoded from them."""
     keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    coded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=keep)
-    return coded.select(*keep, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    coded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=keep, decoded="decoded")
+    return coded.select(*keep, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -88,7 +88,7 @@ STAGES = [
     ("n-gram Jaccard join", one_of_each_class),
     ("substring dedup", cut_repeats),
     ("benchmark decontamination", cut_benchmark),
-    ("BPE encoding", encode),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: SQL can't express the classifier and the chaining; tests compare the stages with brute force.

@@ -88,3 +88,11 @@ def test_documents_that_share_an_id_stay(spark):
     cut = p.cut_repeats(spark, docs.filter("doc_id >= 3"), D).collect()
     assert sorted(r.doc_id for r in cut) == [3, 3, 4] and c in [r.text for r in cut]
     assert sum(run in r.text for r in cut) == 1
+
+
+def test_encoding_is_decoded(kept):
+    import hashlib
+
+    texts = {r.doc_id: r.text for r in kept[4]}
+    assert p.STAGES[-1][0] == "BPE encoding and decoding"
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in kept[5])
