@@ -100,7 +100,7 @@ class Model:
 def learn(docs: DataFrame, usable: Column, max_rows: int = 400) -> Model:
     """Model from docs(doc_id, text, lang) where usable; max_rows texts of each language at most."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {x["lang"]: x["n"] for x in docs.filter(usable).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(512).collect() if x["lang"] is not None}
+    counts = {x["lang"]: x["n"] for x in docs.filter(usable).groupBy("lang").agg(F.count("*").alias("n")).collect() if x["lang"] is not None}
     if not counts:
         return Model([], [])
     share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, 1.5 * max_rows / n)))])

@@ -326,3 +326,8 @@ def test_passages_odd_rows(spark, odd):
     found = substring_dedup.find_passages(odd)
     assert found.count() == 0
     assert substring_dedup.cut_passages(odd, found).count() == odd.count()
+
+
+def test_all_languages_are_learned(spark):
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} {'abcdefghij'[i % 10] * (1 + i // 26)}", f"l{i:03}", None, None) for i in range(530)], DOC)
+    assert len(language_id.learn(docs, F.lit(True)).langs) == 530
