@@ -70,3 +70,9 @@ def test_secrets_seen_before_are_not_repeated(spark):
     df = spark.createDataFrame(rows, "analysis_id string, file_ord int, path string, base_url string, content string")
     got = sorted((r.analysis_id, r.rule_id) for r in findings(findings_raw(df)).filter("category = 'secrets'").collect())
     assert got == [("a", "generic-secret"), ("b", "ast")]
+
+
+def test_sums_alone_are_parsed(spark):
+    rows = [("a", 0, "x", None, '"a/" + "b.chunk.js";'), ("b", 0, "x", None, "'a.bun' + 'dle.js'"), ("c", 0, "x", None, '"a.chunk.js"')]
+    df = spark.createDataFrame(rows, "analysis_id string, file_ord int, path string, base_url string, content string")
+    assert sorted((r.analysis_id, r.value) for r in scan_syntax(df).collect()) == [("a", "a/b.chunk.js"), ("b", "a.bundle.js")]
