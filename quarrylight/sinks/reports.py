@@ -29,11 +29,10 @@ def write_csv(findings: DataFrame, path: str) -> None:
     csv_rows(findings).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def report_html(findings: DataFrame, title: str = "Scan report", rows_per_category: int = 1_000) -> str:
+def report_html(findings: DataFrame, title: str = "Scan report") -> str:
     """A page with totals, severities and a table for each category that has findings.
 
-    The counts cover all findings; each table shows its first rows (the limit is
-    what a page can hold).
+    Every finding is a row; they come to the driver one partition at a time.
     """
     counts = {r["category"]: r["n"] for r in category_counts(findings).collect()}
     severities = {r["severity"]: r["n"] for r in severity_counts(findings).collect()}
@@ -44,9 +43,9 @@ def report_html(findings: DataFrame, title: str = "Scan report", rows_per_catego
     for category, label in CATEGORIES:
         if not counts.get(category):
             continue
-        top = findings.filter(F.col("category") == category).orderBy("analysis_id", *ORDER, "value").limit(rows_per_category)
+        rows = findings.filter(F.col("category") == category).orderBy("analysis_id", *ORDER, "value")
         parts.append(f"<h2>{safe(label)} ({counts[category]})</h2><table><tr><th>Severity<th>Type<th>Value<th>File")
-        parts += [f"<tr><td>{safe(r['severity'])}<td>{safe(r['type'])}<td>{safe(r['value'])}<td>{safe(r['source_file'])}" for r in top.select("severity", "type", "value", "source_file").collect()]
+        parts += [f"<tr><td>{safe(r['severity'])}<td>{safe(r['type'])}<td>{safe(r['value'])}<td>{safe(r['source_file'])}" for r in rows.select("severity", "type", "value", "source_file").toLocalIterator()]
         parts.append("</table>")
     return "\n".join(parts)
 

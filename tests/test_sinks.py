@@ -24,6 +24,12 @@ def test_html_report_escapes(spark):
     assert "&lt;t&gt;" in page and "a&lt;b.sql" in page and "Emails" not in page
 
 
+def test_html_report_has_every_finding(spark):
+    f = scan_rules(code(spark, " ".join(f'"f{i}.sql"' for i in range(1200))))
+    page = reports.report_html(f)
+    assert f.count() >= 1200 and page.count("<tr><td>") == f.count() and all(f"f{i}.sql" in page for i in range(1200))
+
+
 def test_collections(spark):
     f = scan_rules(code(spark, '"/u/:id/x" "https://h.example.org/a" "/u/:id/x"'))
     c = json.loads(reports.postman(f).first().collection)
