@@ -13,7 +13,15 @@ subsequence, ends by extension; parts of at least IDENTITY equal words are
 passages. Passages of one node that touch are taken together, since different
 owners may hold parts of one; together they must have min_words words.
 
-Per document at most its own seeds, chains and words meet in one task.
+The seeds of one passage may have several owners, or one owner elsewhere, and
+then make no chain. So exact runs are also searched by themselves: every run of
+min_words words whose seeds are all shared is matched, at all its places, with
+the least node that holds the whole run, and runs that go on in both texts are
+one passage. No exact run of min_words words that a lesser node holds is left.
+A passage without such a run (a fuzzy one) is found by its chains alone.
+
+Per document at most its own seeds, chains and words meet in one task; of runs,
+the places of one run.
 
 Defined cases: null or empty texts, and texts below K words, have no seeds;
 copies of a word sequence repeat their least doc_id's as a whole if they have
@@ -30,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U, bitmap, hash_bitmap, hash_in_bitmap, in_bitmap, map_arrow, mix, saved, shingles, sized, slot, words_of, work_dir
+from .common import BASE, U, _powers, bitmap, hash_bitmap, hash_in_bitmap, in_bitmap, map_arrow, mix, saved, shingles, sized, slot, words_of, work_dir
 
 K, W = 6, 12
 GAP_COST = 0.1
@@ -39,20 +47,42 @@ FLANK = 2 * (K + W)
 MIN_WORDS = 45
 
 
+def picks(h: np.ndarray, w: int) -> list[np.ndarray]:
+    """For every w consecutive hashes the position of the least, in blocks."""
+    out = []
+    for lo in range(0, max(1, len(h) - w + 1), 1 << 16):  # blocks bound the memory for very long texts
+        part = h[lo : lo + (1 << 16) + w - 1]
+        seen = np.lib.stride_tricks.sliding_window_view(part, min(w, len(part)))
+        out.append(seen.argmin(axis=1) + np.arange(lo, lo + len(seen)))
+    return out
+
+
 def winnow(words: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of the seeds of a word sequence."""
     if len(words) < k:
         return np.empty(0, dtype=U), np.empty(0, dtype=np.int64)
     h = shingles(words, k)
-    picks = []
-    for lo in range(0, max(1, len(h) - w + 1), 1 << 16):  # blocks bound the memory for very long texts
-        part = h[lo : lo + (1 << 16) + w - 1]
-        seen = np.lib.stride_tricks.sliding_window_view(part, min(w, len(part)))
-        picks.append(np.unique(seen.argmin(axis=1) + np.arange(len(seen))) + lo)
-    at = np.unique(np.concatenate(picks))
+    at = np.unique(np.concatenate([np.unique(x) for x in picks(h, w)]))
     return h[at], at
 
 
+def shared_runs(words: np.ndarray, bits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the runs of n words all of whose seeds are in the bitmap."""
+    if len(words) < n:
+        return np.empty(0, dtype=U), np.empty(0, dtype=np.int64)
+    at = np.arange(len(words) - n + 1)
+    inner = n - (K + W - 1) + 1  # seeds that a run has whatever its neighbours
+    if inner > 0:
+        h = shingles(words, K)
+        hit = np.concatenate([hash_in_bitmap(bits, h[x].view(np.int64)) for x in picks(h, W)])
+        count = np.concatenate([[0], np.cumsum(hit)])
+        at = np.flatnonzero(count[inner:] - count[:-inner] == inner)
+    with np.errstate(over="ignore"):
+        p, q = _powers(len(words) + 1)
+        pre = np.concatenate([np.zeros(1, dtype=U), np.cumsum(words * p[: len(words)], dtype=U)])
+        return mix((pre[at + n] - pre[at]) * q[at]), at
+
+
 def node_of(words: np.ndarray) -> int | None:
     """Hash of a word sequence; the order of nodes decides who owns a passage."""
     n = len(words)
@@ -85,9 +115,8 @@ def seed_table(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, node long, n_words long, h array<long>, pos array<int>")
 
 
-def shared_seeds(lists: DataFrame, owned: DataFrame) -> DataFrame:
-    """node, h, pos of the seeds in a bitmap of owned(h); an exact join drops those let through without need."""
-    bits = hash_bitmap(owned, "h")
+def shared_seeds(lists: DataFrame, bits) -> DataFrame:
+    """node, h, pos of the seeds in a bitmap; an exact join drops those let through without need."""
 
     def run(batches):
         for whole in batches:
@@ -103,6 +132,93 @@ def shared_seeds(lists: DataFrame, owned: DataFrame) -> DataFrame:
     return map_arrow(lists, run, "node long, h long, pos int")
 
 
+def exact_runs(docs: DataFrame, table: DataFrame, nodes: DataFrame, bits, n: int, work: str) -> DataFrame:
+    """node, owner, first, last, owner_first, owner_last of the runs of n words at least that a lesser node holds.
+
+    bits: bitmap of the shared seeds. Only texts with enough of them in a row
+    are read; of those, hashes of runs and their places are exchanged.
+    """
+    gap = n - (K + W - 1) - (W - 1)  # between the first and the last seed of a run, at least
+
+    def ask(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                h, pos = b.column("h"), b.column("pos").flatten().to_numpy()
+                sizes, hit = np.diff(h.offsets.to_numpy()), hash_in_bitmap(bits.value, h.flatten().to_numpy())
+                row = np.repeat(np.arange(b.num_rows), sizes)
+                at, row = np.flatnonzero(hit), row[hit]
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row) > 0)])) if len(at) else at
+                end = np.append(cut[1:], len(at)) - 1 if len(at) else at
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.unique(row[cut[pos[at[end]] - pos[at[cut]] >= gap]])))], ["doc_id"])
+
+    askers = table if n < K + W - 1 else map_arrow(table.select("doc_id", "h", "pos"), ask, "doc_id long")
+    wanted = bitmap(askers.select("doc_id").distinct().join(nodes.select("doc_id"), "doc_id"), "doc_id")  # copies have their node's runs
+
+    def run(batches):
+        for whole in batches:
+            take = np.flatnonzero(in_bitmap(wanted.value, whole.column("slot").to_numpy()))
+            for lo in range(0, len(take), 256):
+                words = [words_of(t)[0] for t in whole.column("text").take(pa.array(take[lo : lo + 256])).to_pylist()]
+                got = [shared_runs(x, bits.value, n) for x in words]
+                sizes = [len(h) for h, _ in got]
+                if sum(sizes):
+                    node = np.repeat(np.array([node_of(x) or 0 for x in words], dtype=np.int64), sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([h for h, _ in got]).view(np.int64)), pa.array(np.concatenate([p for _, p in got]).astype(np.int32))], ["node", "h", "pos"])
+
+    places = map_arrow(docs.filter("doc_id IS NOT NULL").select(slot("doc_id").alias("slot"), "text"), run, "node long, h long, pos int")
+    by_run = Window.partitionBy("h").orderBy("node", "pos")
+    owned = places.select("node", "pos", F.first("node").over(by_run).alias("owner"), F.first("pos").over(by_run).alias("owner_pos")).filter("node <> owner")
+    same = ["node", "owner", F.col("pos") - F.col("owner_pos")]
+    along = Window.partitionBy(*same).orderBy("pos")
+    new = F.coalesce((F.col("pos") - F.lag("pos").over(along) > n).cast("int"), F.lit(1))
+    parts = owned.withColumn("new", new).withColumn("part", F.sum("new").over(along)).withColumn("shift", F.col("pos") - F.col("owner_pos"))
+    runs = parts.groupBy("node", "owner", "shift", "part").agg(F.min("pos").cast("long").alias("first"), (F.max("pos") + n).cast("long").alias("last"))
+    runs = runs.select("node", "owner", "first", "last", (F.col("first") - F.col("shift")).alias("owner_first"), (F.col("last") - F.col("shift")).alias("owner_last"))
+    return saved(runs, f"{work}/runs")
+
+
+def least_cover(first: list[int], last: list[int], covered: list[tuple[int, int]]) -> list[int]:
+    """Numbers of the fewest runs (first ascending) that hold, with what is covered (ascending), every word of all runs."""
+    keep, at, i, j, best, reach = [], -1, 0, 0, -1, -1
+    while True:
+        while j < len(covered) and covered[j][0] <= at:
+            at, j = max(at, covered[j][1]), j + 1
+        while i < len(first) and first[i] <= at:
+            if last[i] > reach:
+                best, reach = i, last[i]
+            i += 1
+        if reach > at:
+            keep.append(best)
+            at = reach
+        elif i < len(first):
+            at = first[i]
+        else:
+            return keep
+
+
+def with_rest(aligned: DataFrame, runs: DataFrame) -> DataFrame:
+    """Passages along chains and, of the runs, those needed for the words that no chain's passage covers.
+
+    A word repeated over and over matches at every shift; the same words are not
+    told again for each.
+    """
+    names = aligned.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("first", "ascending"), ("last", "descending")])
+        is_run = table.column("is_run").to_numpy()
+        at = np.flatnonzero(is_run)
+        if len(at):
+            first, last = table.column("first").to_numpy(), table.column("last").to_numpy()
+            kept = least_cover(first[at].tolist(), last[at].tolist(), list(zip(first[~is_run].tolist(), last[~is_run].tolist(), strict=True)))
+            table = table.take(pa.array(np.sort(np.concatenate([np.flatnonzero(~is_run), at[np.array(kept, dtype=np.int64)]]))))
+        return table.select(names)
+
+    both = aligned.withColumn("is_run", F.lit(False)).unionByName(runs.withColumn("identity", F.lit(1.0)).withColumn("is_run", F.lit(True)))
+    return both.groupBy("node").applyInArrow(run, aligned.schema)
+
+
 def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """Best chains of matches (x ascending; y), each an array of match numbers; every match is in one at most."""
     n = len(x)
@@ -294,12 +410,15 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lists = table.filter("doc_id IS NOT NULL AND node IS NOT NULL").select("node", "h", "pos")
     owned = lists.select("node", F.explode("h").alias("h")).groupBy("h").agg(F.min("node").alias("owner"), F.max("node").alias("top"))
     owned = saved(owned.filter("owner <> top").select("h", "owner"), f"{work}/owned")
-    held = saved(shared_seeds(lists, owned).join(sized(owned), "h"), f"{work}/held")
+    bits = hash_bitmap(owned, "h")
+    held = saved(shared_seeds(lists, bits).join(sized(owned), "h"), f"{work}/held")
     own = held.filter("node = owner").groupBy("h").agg(F.min("pos").alias("owner_pos"))
     matches = held.filter("node <> owner").distinct().join(own, "h").select("node", "owner", "pos", "owner_pos")
     chains = chain_matches(matches)
     chains = saved(chains.withColumn("id", F.xxhash64("node", "owner", F.element_at("xs", 1), F.element_at("ys", 1), F.element_at("xs", -1))), f"{work}/chains")
     aligned = saved(align_chains(docs, chains, nodes), f"{work}/aligned")
+    runs = exact_runs(docs, table.filter("doc_id IS NOT NULL AND node IS NOT NULL"), nodes, bits, min_words, work)
+    aligned = saved(with_rest(aligned, runs), f"{work}/passages")
 
     # passages of a node that overlap or touch make one stretch, which must be long enough
     before = Window.partitionBy("node").orderBy("first", "last", "owner", "owner_first")

@@ -328,6 +328,61 @@ def test_passages_odd_rows(spark, odd):
     assert substring_dedup.cut_passages(odd, found).count() == odd.count()
 
 
+def test_runs_whose_lines_other_documents_hold(spark):
+    """Every run of min_words words that a lesser node holds is covered, though its lines have owners of their own."""
+    import random
+
+    rnd = random.Random(11)
+    prose = lambda n: [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    texts = []
+    for k in range(12):
+        lines = [prose(20) for _ in range(3)]
+        run = sum(lines, [])
+        pair = [prose(15) + run + prose(30), prose(40) + lines[1] + prose(8) + lines[0] + prose(7) + run + prose(5)]
+        low = min(substring_dedup.node_of(substring_dedup.words_of(" ".join(t))[0]) for t in pair)
+        for line in lines:
+            while substring_dedup.node_of(substring_dedup.words_of(" ".join(t := prose(30) + line + prose(30)))[0]) >= low:
+                pass
+            texts.append(t)
+        texts += pair
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = substring_dedup.find_passages(docs).collect()
+    nodes = [substring_dedup.node_of(substring_dedup.words_of(" ".join(t))[0]) for t in texts]
+    n, least = substring_dedup.MIN_WORDS, {}
+    for t, node in zip(texts, nodes, strict=True):
+        for i in range(len(t) - n + 1):
+            key = tuple(t[i : i + n])
+            least[key] = min(node, least.get(key, node))
+    repeats = 0
+    for d, (t, node) in enumerate(zip(texts, nodes, strict=True)):
+        covered = {i for r in got if r.doc_id == d for i in range(r.first, r.last)}
+        for i in range(len(t) - n + 1):
+            if least[tuple(t[i : i + n])] < node:
+                repeats += 1
+                assert covered >= set(range(i, i + n))
+    assert repeats == 12 * 16
+    for r in got:
+        assert nodes[r.other_id] < nodes[r.doc_id]
+        if r.identity == 1:
+            assert texts[r.doc_id][r.first : r.last] == texts[r.other_id][r.other_first : r.other_last]
+
+
+def test_least_cover():
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        runs = sorted((int(a), int(a + n)) for a, n in rnd.integers(1, 30, (12, 2)))
+        over = sorted((int(a), int(a + n)) for a, n in rnd.integers(1, 20, (3, 2)))
+        keep = substring_dedup.least_cover([a for a, _ in runs], [z for _, z in runs], over)
+        words = lambda s: set().union(*[range(a, z) for a, z in s])
+        assert words(over) | words([runs[i] for i in keep]) == words(over) | words(runs)
+        assert len(set(keep)) == len(keep)
+
+
+def test_repeated_words_are_told_once(spark):
+    docs = spark.createDataFrame([(0, "a " * 900 + "b"), (1, "c " + "a " * 700 + "d")], "doc_id long, text string")
+    assert 1 <= substring_dedup.find_passages(docs).count() <= 30
+
+
 def test_all_languages_are_learned(spark):
     docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} {'abcdefghij'[i % 10] * (1 + i // 26)}", f"l{i:03}", None, None) for i in range(530)], DOC)
     assert len(language_id.learn(docs, F.lit(True)).langs) == 530
