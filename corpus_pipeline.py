@@ -7,13 +7,13 @@ kept and returns the columns of documents; the last returns token ids.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.bpe import bpe_encode
-from quarrylight.llm.common import saved, sized, work_dir
+from quarrylight.llm.common import saved, work_dir
 from quarrylight.llm.decontaminate import find_contamination
-from quarrylight.llm.jaccard_join import jaccard_classes
+from quarrylight.llm.jaccard_join import one_of_each
 from quarrylight.llm.quality_qda import classify, held_out, learn
 from quarrylight.llm.substring_dedup import cut_passages, find_passages
 
@@ -27,31 +27,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter("predicted = 1").select(*[F.col(f"d_{c}").alias(c) for c in names])
 
 
-def _row() -> Column:
-    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.col("text").isNull(), "text"))
-
-
-def _ids_repeat(docs: DataFrame) -> bool:
-    return not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
-
-
-def _one_of_each_row_class(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Where ids repeat, rows are told apart by doc_id and text; the least doc_id of each class stays."""
-    keyed = docs.withColumn("__row", _row())
-    classes = jaccard_classes(keyed.select(F.col("__row").alias("doc_id"), "text"))
-    rows = classes.select(F.col("doc_id").alias("__row"), "component_id").distinct().join(keyed.select("__row", "doc_id").distinct(), "__row")
-    first = saved(rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row"), work_dir(spark, "first"))
-    kept = keyed.join(sized(first), "__row", "left_semi").dropDuplicates(["__row"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
-
-
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each class of near-duplicates; documents with null ids stay, texts repeated under one id stay once."""
-    if _ids_repeat(docs):
-        return _one_of_each_row_class(spark, docs)
-    classes = jaccard_classes(docs)
-    gone = saved(classes.filter("doc_id <> component_id").select("doc_id").distinct(), work_dir(spark, "gone"))
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near-duplicates, the least doc_id (nulls last); rows without words stay."""
+    return one_of_each(docs)
 
 
 def _sized_again(docs: DataFrame) -> DataFrame:
@@ -60,10 +38,7 @@ def _sized_again(docs: DataFrame) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that another document keeps."""
-    if not _ids_repeat(docs):
-        return _sized_again(cut_passages(docs, find_passages(docs)))
-    keyed = saved(docs.withColumn("__id", F.col("doc_id")).withColumn("doc_id", _row()), work_dir(spark, "keyed"))
-    return _sized_again(cut_passages(keyed, find_passages(keyed)).withColumn("doc_id", F.col("__id")).select(*docs.columns))
+    return _sized_again(cut_passages(docs, find_passages(docs)))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

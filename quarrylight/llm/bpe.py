@@ -13,7 +13,8 @@ and equality are JVM functions of the column; unpack_ids() gives arrays.
 Defined cases: null text is encoded as the empty text (no ids); empty ids decode
 to the empty text; ids outside the vocabulary are left out; special tokens of
 the vocabulary found in a text become their ids; a very long text is one row
-but is worked on in pieces of its pre-tokens; repeated rows stay; other columns
+but is worked on in pieces of about CHUNK_CHARS characters, cut before a space
+(a longer stretch without a letter or digit before a space is one piece); repeated rows stay; other columns
 are passed through; an empty table gives no rows.
 """
 
@@ -30,13 +31,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, span_hashes, with_text
+from .common import map_arrow, span_blocks, with_text
 
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 CHUNK_CHARS = 400_000
 TABLE_WORDS = 900_000
+TABLE_BLOCKS = 4_000_000
 SLOTS = (1 << 20) - 3
 
 
@@ -135,6 +137,31 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+class Rows:
+    """Rows of different lengths in one flat array; it and its offsets grow by doubling."""
+
+    def __init__(self, kind) -> None:
+        self.flat, self.off, self.n = np.empty(1 << 16, dtype=kind), np.zeros(1 << 14, dtype=np.int64), 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of the rows added."""
+        n, at = self.n, int(self.off[self.n])
+        while at + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(sizes) + 1 > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        self.flat[at : at + len(values)] = values
+        self.off[n + 1 : n + 1 + len(sizes)] = at + np.cumsum(sizes)
+        self.n = n + len(sizes)
+        return np.arange(n, self.n)
+
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        return self.off[at + 1] - self.off[at]
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        return self.flat[ragged(self.off[at], self.sizes(at))]
+
+
 UNKNOWN, LETTER, NUMBER, SPACE, OTHER = 255, 0, 1, 2, 3
 
 
@@ -146,7 +173,9 @@ class WordEncoder:
     and tokens begin where classes change (one space joins what follows; the
     last white space before a word stands alone). Texts with an apostrophe or a
     special token are cut by the pattern. Pre-tokens are looked up by 64-bit
-    hash and length in a two-way table; fill encodes new ones: (flat ids, counts).
+    hash in a two-way table and compared byte by byte with the word found there, so equal hashes of different words do no harm; fill encodes
+    new ones: (flat ids, counts). The table starts anew beyond TABLE_WORDS words
+    or TABLE_BLOCKS blocks of 8 bytes.
     """
 
     def __init__(self, special: dict[str, int], fill: Callable, cut: Callable) -> None:
@@ -160,29 +189,33 @@ class WordEncoder:
     def reset(self) -> None:
         self.keys = np.zeros(2 * SLOTS, dtype=np.uint64)
         self.slot = np.zeros(2 * SLOTS, dtype=np.int32)
-        self.flat, self.off = np.empty(1 << 16, dtype=np.int32), np.zeros(1 << 14, dtype=np.int64)
-        self.n_words = 0
-        self.append(np.array(list(self.special.values()), dtype=np.int32), np.ones(len(self.special), dtype=np.int64))
+        self.ids, self.blocks = Rows(np.int32), Rows(np.uint64)
         if self.special:
-            cp = code_points("".join(self.special))
-            ends = np.cumsum([len(w) for w in self.special])
-            self.store(self.hashes(cp, np.concatenate([[0], ends[:-1]]), ends), np.arange(len(self.special)))
-
-    def append(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Numbers of the words added; the arrays grow by doubling."""
-        n, at = self.n_words, int(self.off[self.n_words])
-        while at + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(counts) + 1 > len(self.off):
-            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-        self.flat[at : at + len(ids)] = ids
-        self.off[n + 1 : n + 1 + len(counts)] = at + np.cumsum(counts)
-        self.n_words = n + len(counts)
-        return np.arange(n, self.n_words)
+            size = np.array([len(w.encode()) for w in self.special])
+            flat, n, h = self.hashed(np.frombuffer("".join(self.special).encode(), dtype=np.uint8), np.cumsum(size) - size, np.cumsum(size))
+            self.blocks.add(flat, n)
+            self.store(h, self.ids.add(np.array(list(self.special.values()), dtype=np.int32), np.ones(len(n), dtype=np.int64)))
 
     @staticmethod
-    def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return span_hashes(cp, start, end) | np.uint64(1)
+    def hashed(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, n, h = span_blocks(raw, begin, end)
+        return flat, n, h | np.uint64(1)
+
+    def encoded(self, words: list[str], flat: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Numbers of the words, encoded and kept anew; which: their places among the spans of flat."""
+        self.blocks.add(flat[ragged((np.cumsum(n) - n)[which], n[which])], n[which])
+        return self.ids.add(*self.fill(words))
+
+    def differ(self, at: np.ndarray, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which of the spans of flat are not the kept words numbered at."""
+        held, first = self.blocks.sizes(at), np.cumsum(n) - n
+        if (held == n).all():
+            return np.logical_or.reduceat(self.blocks.take(at) != flat, first)
+        out = held != n
+        same = np.flatnonzero(~out)
+        if len(same):
+            out[same] = np.logical_or.reduceat(self.blocks.take(at[same]) != flat[ragged(first[same], n[same])], np.cumsum(n[same]) - n[same])
+        return out
 
     def store(self, h: np.ndarray, at: np.ndarray) -> None:
         a = (h >> np.uint64(1)) % np.uint64(SLOTS)
@@ -220,7 +253,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each has."""
-        if self.n_words > TABLE_WORDS:
+        if self.ids.n > TABLE_WORDS or self.blocks.off[self.blocks.n] > TABLE_BLOCKS:
             self.reset()
         texts = [x or "" for x in texts]
         joined = "".join(texts)
@@ -247,20 +280,47 @@ class WordEncoder:
                 lengths = np.array(self.by_pattern(x), dtype=np.int64)
                 start[lo + np.cumsum(lengths) - lengths] = True
         begin = np.flatnonzero(start)
-        end = np.append(begin[1:], len(cp))
-        h = self.hashes(cp, begin, end)
+        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        if len(raw) == len(cp):
+            byte = begin
+        else:
+            wide = (cp >= 0x80).view(np.uint8) + (cp >= 0x800) + (cp >= 0x10000)
+            byte = begin + np.concatenate([[0], np.cumsum(wide, dtype=np.int64)])[begin]
+        flat, n, h = self.hashed(raw, byte, np.append(byte[1:], len(raw)))
         at = self.lookup(h).astype(np.int64)
+        words = lambda which: [joined[a:b] for a, b in zip(begin[which].tolist(), np.append(begin[1:], len(cp))[which].tolist(), strict=True)]
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh, where, back = np.unique(h[new], return_index=True, return_inverse=True)
-            where = new[where]
-            ids, counts = self.fill([joined[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
-            place = self.append(ids, counts)
+            place = self.encoded(words(new[where]), flat, n, new[where])
             self.store(fresh, place)
             at[new] = place[back]
-        lengths = self.off[at + 1] - self.off[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[ragged(self.off[at], lengths)], np.diff(ends[np.searchsorted(begin, bounds)])
+        other = np.flatnonzero(self.differ(at, flat, n))
+        if len(other):  # words with the hash of another word: encoded by themselves, not looked up again
+            at[other] = self.encoded(words(other), flat, n, other)
+        ends = np.concatenate([[0], np.cumsum(self.ids.sizes(at))])
+        return self.ids.take(at), np.diff(ends[np.searchsorted(begin, bounds)])
+
+    def encode_pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """encode(), with a very long text in pieces that are cut where a pre-token must end."""
+        if len(texts) != 1 or len(texts[0] or "") < 2 * CHUNK_CHARS:
+            return self.encode(texts)
+        parts = [self.encode([x])[0] for x in pieces(texts[0])]
+        ids = np.concatenate(parts)
+        return ids, np.array([len(ids)])
+
+
+#: Between an ASCII letter or digit and a space a pre-token ends, whatever stands around.
+SAFE = regex.compile(r"[A-Za-z0-9](?= )")
+
+
+def pieces(text: str, chars: int | None = None) -> Iterator[str]:
+    at, chars = 0, chars or CHUNK_CHARS
+    while at < len(text):
+        found = SAFE.search(text, at + chars)
+        to = found.end() if found else len(text)
+        yield text[at:to]
+        at = to
 
 
 def code_points(text: str) -> np.ndarray:
@@ -363,7 +423,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: st
         for b in slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             for lo, hi in chunks(texts):
-                ids, counts = enc.encode(texts[lo:hi])
+                ids, counts = enc.encode_pieces(texts[lo:hi])
                 cols = [*(c.slice(lo, hi - lo) for c in b.columns[:-1]), binary(ids.astype("<u4"), counts)]
                 if decoded:
                     ends = np.cumsum(counts)

@@ -8,18 +8,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
-#: Odd base of the polynomial word hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15 | 1
-INV = pow(BASE, -1, 1 << 64)
+#: Odd multipliers.
+BASE = 0x9E3779B97F4A7C15
+SIZE = 0xD6E8FEB86659FD93
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Where the session names none (tests, a single machine) one is set.
+    Where the session names none and the master is this machine (tests) one is
+    set; elsewhere that is an error, since executors share no local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -99,22 +102,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-_pow = np.ones(1, dtype=U)
-_inv = np.ones(1, dtype=U)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        n = max(n, len(_pow) + (len(_pow) >> 2))
-        with np.errstate(over="ignore"):
-            p = np.full(n, BASE, dtype=U)
-            q = np.full(n, INV, dtype=U)
-            p[0] = q[0] = 1
-            _pow, _inv = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _pow, _inv
-
-
 def lower_ascii() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
@@ -134,8 +121,7 @@ def words_of(text: str | None, kind: np.ndarray = SPACED) -> tuple[np.ndarray, n
     """(hashes, byte starts, byte ends) of the words of a whole text with A-Z lower-cased.
 
     Delimiters are ASCII, so working on UTF-8 bytes equals working on code
-    points. The hash of a word is a polynomial over its bytes, taken from
-    prefix sums modulo 2**64, then mixed with the length.
+    points. See span_hashes() for the hash of a word.
     """
     b = LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
     inside = np.zeros(len(b) + 2, dtype=np.int8)
@@ -147,22 +133,78 @@ def words_of(text: str | None, kind: np.ndarray = SPACED) -> tuple[np.ndarray, n
     return span_hashes(b, start, end), start, end
 
 
+#: The lowest 0, 1, ..., 8 bytes of a block.
+LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
+
+
+def eights(b: np.ndarray) -> np.ndarray:
+    """The 8 bytes that begin at each byte, as one number; past the end zeros."""
+    part = np.concatenate([b, np.zeros(8, dtype=np.uint8)])
+    return np.lib.stride_tricks.as_strided(part[:8].view(U), shape=(len(b) + 1,), strides=(1,))
+
+
+def span_blocks(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks of 8 bytes of all spans, filled up with bytes 255, which are in no UTF-8 text; blocks of each; hashes)."""
+    size = end - start
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    i = np.arange(int(n.sum())) - np.repeat(first, n)
+    low = LOWEST[np.minimum(np.repeat(size, n) - 8 * i, 8)]
+    flat = eights(b)[np.repeat(start, n) + 8 * i] & low | ~low
+    with np.errstate(over="ignore"):
+        return flat, n, mix(np.add.reduceat(mix(mix(flat) + i.astype(U) * U(BASE)), first) + n.astype(U) * U(SIZE)) if len(n) else flat
+
+
 def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of the bytes b, none of which is empty.
+
+    Every block of 8 bytes goes through mix(), then through it once more with
+    its number in the span; the sum of these and the length are mixed again.
+    No sum of plain bytes or powers is taken, so that regular patterns of the
+    bytes don't cancel out.
+    """
     out = np.empty(len(start), dtype=U)
     at, step = 0, 1 << 18
     with np.errstate(over="ignore"):
         while at < len(start):  # blocks bound the memory for very long texts
             to = max(at + 1, int(np.searchsorted(end, start[at] + step)))
             lo, hi = int(start[at]), int(end[to - 1])
-            p, q = _powers(hi - lo + 1)
-            pre = np.zeros(hi - lo + 1, dtype=U)
-            np.cumsum((b[lo:hi].astype(U) + U(1)) * p[: hi - lo], out=pre[1:])
-            s, e = start[at:to] - lo, end[at:to] - lo
-            out[at:to] = mix((pre[e] - pre[s]) * q[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+            block = eights(b[lo:hi])
+            s, size = start[at:to] - lo, end[at:to] - start[at:to]
+            h = mix(block[s] & LOWEST[np.minimum(size, 8)])
+            long = np.flatnonzero(size > 8)
+            if len(long):
+                n = (size[long] - 1) // 8
+                first = np.cumsum(n) - n
+                i = np.arange(int(n.sum())) - np.repeat(first, n) + 1
+                left = np.repeat(size[long], n) - 8 * i
+                more = mix(block[np.repeat(s[long], n) + 8 * i] & LOWEST[np.minimum(left, 8)])
+                h[long] += np.add.reduceat(mix(more + i.astype(U) * U(BASE)), first)
+            out[at:to] = mix(h + size.astype(U) * U(SIZE))
             at = to
     return out
 
 
+def sequence_hash(words: np.ndarray) -> int:
+    """64-bit hash, as a signed number, of a sequence of hashes; order and length count."""
+    with np.errstate(over="ignore"):
+        v = mix(words + np.arange(1, len(words) + 1, dtype=U) * U(BASE)).sum(dtype=U) + U(len(words)) * U(SIZE)
+        return int(mix(np.array([v], dtype=U))[0].view(np.int64))
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, each from those of the two runs of half or more of its words that cover it."""
+    if len(words) < n:
+        return np.empty(0, dtype=U)
+    h, size = words, 1
+    with np.errstate(over="ignore"):
+        while size < n:
+            k = min(size, n - size)
+            h = mix(mix(h[:-k]) * U(BASE) + h[k:])
+            size += k
+    return h
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; of the whole sequence if it has fewer; empty without words."""
     n = len(words)
@@ -184,6 +226,33 @@ def sized(table: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, count: str = "c", how: str = "inner", rows: int = 200_000) -> DataFrame:
+    """left joined (inner, left) with right, a stored table that has each key once and in count how many rows of left have it.
+
+    A right side of few rows is broadcast. Else keys with more rows than 2,000
+    and than 1/500 of all are hot: there are 500 at most, whatever the input, so
+    these are broadcast, and the rows of left that have them are not exchanged.
+    """
+    from pyspark.sql import functions as F
+
+    n, total, most = right.agg(F.count("*"), F.sum(count), F.max(count)).first()
+    small, limit = right.drop(count), max(2_000, (total or 0) // 500)
+    if n <= rows:
+        return left.join(F.broadcast(small), key, how)
+    if most <= limit:
+        return left.join(small, key, how)
+    hot = F.broadcast(right.filter(F.col(count) > limit).drop(count))
+    rest = left.join(F.broadcast(right.filter(F.col(count) > limit).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(right.filter(F.col(count) <= limit).drop(count), key, how))
+
+
+def row_key():
+    """A key of the rows of (doc_id, text): equal for equal rows, whatever else repeats or is null."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64("doc_id", "text")
+
+
 BITS = 1 << 22
 
 
@@ -236,24 +305,28 @@ def components(edges: DataFrame, work: str) -> DataFrame | None:
     Nodes must be hashes. Each round maps a node to the least of itself and its
     neighbours and rewrites the edges; since the order of hashes is random, a
     constant share of the nodes goes in each round. Rounds are stored; nothing
-    but a count comes to the driver.
+    but counts comes to the driver.
     """
     from pyspark.sql import functions as F
 
     maps, cur, k = [], edges.filter("a <> b").distinct(), 0
     cur = saved(cur, f"{work}/edges-0")
-    if not cur.count():
+    if cur.isEmpty():
         return None
-    while cur.count():
+    while not cur.isEmpty():
         both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = saved(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")), f"{work}/near-{k}")
-        maps.append(near)
+        near = saved(both.groupBy("a").agg(F.min("b").alias("to"), F.count("*").alias("c")).select("a", F.least("a", "to").alias("to"), "c"), f"{work}/near-{k}")
+        maps.append(near.select("a", "to"))
         k += 1
-        step = cur.join(near, "a").select(F.col("to").alias("a"), "b")
-        step = step.join(near.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b").select("a", F.col("tb").alias("b"))
+        step = join_unique(cur, near, "a").select(F.col("to").alias("a"), "b")
+        step = join_unique(step, near.select(F.col("a").alias("b"), F.col("to").alias("tb"), "c"), "b").select("a", F.col("tb").alias("b"))
         cur = saved(step.filter("a <> b").distinct(), f"{work}/edges-{k}")
     root = maps[-1].select(F.col("a").alias("node"), F.col("to").alias("root"))
     for near in reversed(maps[:-1]):
         up = root.select(F.col("node").alias("to"), "root")
         root = near.join(up, "to", "left").select(F.col("a").alias("node"), F.coalesce("root", "to").alias("root"))
-    return saved(root, f"{work}/root")
+    root = saved(root, f"{work}/root")
+    for i in range(k):
+        remove(edges.sparkSession, f"{work}/near-{i}")
+        remove(edges.sparkSession, f"{work}/edges-{i}")
+    return root

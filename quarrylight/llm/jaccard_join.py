@@ -17,15 +17,18 @@ no list, group or partner count has a cap. Copies meet once, as one set.
 3. The rest, exactly: a link between different components needs `least` common
    prefix hashes, so hashes held by one component alone are out, then sets with
    fewer other hashes than that, then, by the same rule on half of each set,
-   what merely shares passages. Sets left over are searched once more, cluster
-   by cluster (DivideSkip: all but the T - 1 longest lists are merged, what they
-   give is probed in the long ones while it can still reach T).
+   what merely shares passages. Sets left over are searched once more, in
+   clusters of sets that share one of their rarest hashes (DivideSkip: all but
+   the T - 1 longest lists are merged, what they give is probed in the long ones
+   while it can still reach T).
 4. Components of all links; component_id is the least doc_id.
 
-Defined cases: null or empty texts and texts without words have the empty set
-and link with nothing; rows with a null doc_id belong to their set's class but
-start no search; repeated rows and doc_ids stay; an empty table gives no rows;
-other columns are ignored.
+Rows are told apart by a hash of doc_id and text, so doc_ids may repeat or be
+null. Defined cases: null or empty texts and texts without words have the empty
+set and link with nothing; rows with a null doc_id link like any other (a class
+of nothing else has the component_id null); repeated rows and doc_ids stay, all
+rows of one doc_id in the classes of their own texts; a very long text is one
+set, hashed in blocks; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bitmap, components, hash_bitmap, hash_in_bitmap, in_bitmap, map_arrow, mix, saved, shingles, sized, slot, words_of, work_dir
+from .common import U, bitmap, components, hash_bitmap, hash_in_bitmap, in_bitmap, join_unique, map_arrow, mix, remove, row_key, saved, shingles, sized, slot, words_of, work_dir
 
 LOW = 4
+#: Sets in one part of a group at most, and sets that ask one copy of a part, about.
+GROUP_SETS, CHUNK_ASKS = 2_000, 1_000
 
 
 def document_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -152,7 +157,7 @@ def _list_column(parts: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, rule: Threshold, k: int) -> DataFrame:
-    """doc_id, n, node (the set's fingerprint), low (lowest hashes), prefix."""
+    """doc_id, key, n, node (the set's fingerprint), low (lowest hashes), prefix, from docs(doc_id, key, text)."""
 
     def run(batches):
         for whole in batches:
@@ -161,17 +166,17 @@ def signatures(docs: DataFrame, rule: Threshold, k: int) -> DataFrame:
                 sets = [document_set(t, k) for t in b.column("text").to_pylist()]
                 n = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(n, pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), _list_column([s[:LOW] for s in sets]), _list_column([s[: rule.prefix_size(len(s))] for s in sets])],
-                    ["doc_id", "n", "node", "low", "prefix"],
+                    [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), _list_column([s[:LOW] for s in sets]), _list_column([s[: rule.prefix_size(len(s))] for s in sets])],
+                    ["doc_id", "key", "n", "node", "low", "prefix"],
                 )
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, low array<long>, prefix array<long>")
+    return map_arrow(docs, run, "doc_id long, key long, n long, node long, low array<long>, prefix array<long>")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int, half: bool = False) -> DataFrame:
-    """wanted(node, rep, ...) with the set of each: whole, or its lower half, hashed again from the text of rep.
+    """wanted(node, rep, ...) with the set of each: whole, or its lower half, hashed again from the text of the row with key rep.
 
-    docs must not repeat rows. wanted must be stored; it is broadcast if small.
+    docs(doc_id, key, text, repeated): repeated says that rows may repeat. wanted must be stored; it is broadcast if small.
     """
     bits = bitmap(wanted, "rep")
 
@@ -182,14 +187,16 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, k: int, half: bool = False) -
                 b = whole.take(pa.array(at[lo : lo + 256]))
                 sets = [document_set(t, k) for t in b.column("text").to_pylist()]
                 nodes = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), nodes, _list_column([s[: -(-len(s) // 2)] if half else s for s in sets])], ["rep", "node", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("rep"), nodes, _list_column([s[: -(-len(s) // 2)] if half else s for s in sets])], ["rep", "node", "set"])
 
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", slot("doc_id").alias("slot"), "text")
-    return map_arrow(texts, run, "rep long, node long, set array<long>").join(sized(wanted), ["rep", "node"])
+    sets = map_arrow(docs.select(F.col("key").alias("rep"), slot("key").alias("slot"), "text"), run, "rep long, node long, set array<long>")
+    if "repeated" in docs.columns:
+        sets = sets.join(wanted.select("rep", "node").distinct(), ["rep", "node"], "left_semi").dropDuplicates(["rep", "node"])
+    return sets.join(sized(wanted), ["rep", "node"])
 
 
 def search_groups(members: DataFrame, rule: Threshold) -> DataFrame:
-    """Verified links (a, b) from members(center, salt, head, node, set): leaders and queries, group after group."""
+    """Verified links (a, b) from members(group, salt, head, node, set): leaders and queries, group after group."""
 
     def run(batches):
         now, lead = None, Leaders(rule)
@@ -197,8 +204,8 @@ def search_groups(members: DataFrame, rule: Threshold) -> DataFrame:
             for lo in range(0, whole.num_rows, 64):
                 a, b = [], []
                 for x in whole.slice(lo, 64).to_pylist():
-                    if (x["center"], x["salt"]) != now:
-                        now = (x["center"], x["salt"])
+                    if (x["group"], x["salt"]) != now:
+                        now = (x["group"], x["salt"])
                         lead.clear()
                     hit = lead.search(x["set"])
                     if not hit:
@@ -207,7 +214,7 @@ def search_groups(members: DataFrame, rule: Threshold) -> DataFrame:
                     b += hit
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    ordered = members.repartition("center", "salt").sortWithinPartitions("center", "salt", F.desc("head"), "node")
+    ordered = members.repartition("group", "salt").sortWithinPartitions("group", "salt", F.desc("head"), "node")
     return map_arrow(ordered, run, "a long, b long")
 
 
@@ -251,7 +258,7 @@ class Inverted:
 
 
 def search_clusters(members: DataFrame, rule: Threshold) -> DataFrame:
-    """Links (a, b) between components from members(cluster, part, kind 0 indexed or 1 asking, node, n, comp, set).
+    """Links (a, b) between components from members(part, chunk, kind 0 indexed or 1 asking, node, n, comp, set).
 
     A query takes partners of its own size or larger, so its overlap must reach
     what two sets of its size need. Of the links that a part finds, those that
@@ -271,8 +278,8 @@ def search_clusters(members: DataFrame, rule: Threshold) -> DataFrame:
             for lo in range(0, whole.num_rows, 64):
                 a, b = [], []
                 for x in whole.slice(lo, 64).to_pylist():
-                    if (x["cluster"], x["part"]) != now:
-                        now, held, index, up = (x["cluster"], x["part"]), [], None, {}
+                    if (x["part"], x["chunk"]) != now:
+                        now, held, index, up = (x["part"], x["chunk"]), [], None, {}
                     if x["kind"] == 0:
                         held.append((x["node"], x["n"], x["comp"], np.array(x["set"], dtype=np.int64)))
                         continue
@@ -290,7 +297,7 @@ def search_clusters(members: DataFrame, rule: Threshold) -> DataFrame:
                             b.append(node)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    ordered = members.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "kind", "node")
+    ordered = members.repartition("part", "chunk").sortWithinPartitions("part", "chunk", "kind", "node")
     return map_arrow(ordered, run, "a long, b long")
 
 
@@ -328,58 +335,79 @@ def sieve(sets: DataFrame, col: str, bits, keep_set: bool = False) -> DataFrame:
     return map_arrow(sets.select("node", "n", "comp", col), run, "node long, n long, comp long, held long" + ", set array<long>" * keep_set)
 
 
+def rare_first(sets: DataFrame, least, path: str) -> DataFrame:
+    """sets(node, n, held, set) -> node, rare: the held - least + 1 hashes of the set that fewest sets hold, rarest first.
+
+    Two sets with `least` common hashes each have one of those in common.
+    """
+    rows = sets.select("node", F.explode("set").alias("h"))
+    counts = saved(rows.groupBy("h").agg(F.count("*").alias("c")), path).withColumn("holders", F.col("c"))
+    ranked = join_unique(rows, counts, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "h"))).alias("all"))
+    ranked = ranked.join(sets.select("node", (F.col("held") - least + 1).cast("int").alias("p")), "node")
+    return ranked.select("node", F.slice("all.h", 1, F.greatest("p", F.lit(1))).alias("rare"))
+
+
 def last_search(docs: DataFrame, few: DataFrame, rule: Threshold, k: int, work: str, part: int) -> DataFrame:
     """Links between the components of few(node, n, comp, rep), which hold what the filters left.
 
     Of two linked sets the smaller one asks. Whole sets are cut down to hashes
     that several components hold, one of them with a set large enough to ask;
-    sets without enough of these go, three times over. Sets that share such
-    hashes form clusters; large ones are indexed in parts of about `part` sets,
-    each asked by all.
+    sets without enough of these go, three times over. Sets that share one of
+    their rarest hashes form clusters (the most frequent hashes join nothing).
+    A cluster is indexed in parts of about `part` hashes; a set asks the parts
+    that hold one of its own rarest hashes, and those that ask one part are dealt
+    over copies of it, so no task grows with its cluster.
     """
     least, ask = F.expr(f"-floor(-{rule.num} * n / {rule.den})"), F.expr(f"-floor(-2 * {rule.num} * n / {rule.den + rule.num})")
     sets = fetch_sets(docs, few, k)
     sets = saved(sets.select("node", "n", "comp", "set", F.lit(True).alias("asks")), f"{work}/whole")
     for i in range(3):
         cut = sieve(sets, "set", across(sets, "set", f"{work}/across-{i}"), keep_set=True).filter(F.col("held") >= least)
-        sets = saved(cut.select("node", "n", "comp", "set", (F.col("held") >= ask).alias("asks")), f"{work}/cut-{i}")
-    rows = sets.select("node", F.explode("set").alias("h"))
-    owner = rows.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("h", "b")
-    cluster = components(rows.join(owner, "h").select(F.col("node").alias("a"), "b"), f"{work}/clusters")
+        sets = saved(cut.select("node", "n", "comp", "set", "held", (F.col("held") >= ask).alias("asks")), f"{work}/cut-{i}")
+    rare = saved(rare_first(sets, least, f"{work}/holders"), f"{work}/rare")
+    rows = rare.select("node", F.explode("rare").alias("h"))
+    owner = rows.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("z"), F.count("*").alias("c")).filter("b <> z").select("h", "b", "c")
+    cluster = components(join_unique(rows, saved(owner, f"{work}/owners"), "h").select(F.col("node").alias("a"), "b"), f"{work}/clusters")
     if cluster is None:
         return docs.sparkSession.createDataFrame([], "a long, b long")
     sets = saved(sets.join(cluster, "node").withColumnRenamed("root", "cluster"), f"{work}/clustered")
-    parts = sets.groupBy("cluster").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    sets = sets.join(parts, "cluster")
-    names = ["cluster", "part", "kind", "node", "n", "comp", "set"]
-    indexed = sets.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "kind": F.lit(0)}).select(*names)
-    asking = sets.filter("asks").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "kind": F.lit(1)}).select(*names)
-    return search_clusters(indexed.unionByName(asking), rule)
-
-
-def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, part: int = 500, cluster_part: int = 2_000) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, n_links (links verified on the set's way to its class).
-
-    part, cluster_part: sets in one part of a large group or cluster, about.
-    """
+    sizes = saved(sets.groupBy("cluster").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"), F.count("*").alias("c")), f"{work}/sizes")
+    dealt = join_unique(sets.select("node", "cluster", "n", "held", "asks"), sizes, "cluster")
+    # a part's number is a hash of its cluster and its place there
+    dealt = saved(dealt.select("node", F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("part"), (F.col("held") - ask + 1).cast("int").alias("p"), "asks"), f"{work}/dealt")
+    places = rows.join(dealt.select("node", "part"), "node").select("h", "part").distinct()
+    wants = rare.join(dealt.filter("asks").select("node", "p"), "node").select("node", F.explode(F.slice("rare", 1, F.greatest("p", F.lit(1)))).alias("h"))
+    routes = saved(wants.join(places, "h").select("node", "part").distinct(), f"{work}/routes")
+    chunks = saved(routes.groupBy("part").agg(F.ceil(F.count("*") / CHUNK_ASKS).cast("int").alias("chunks"), F.count("*").alias("c")), f"{work}/chunks")
+    names = ["part", "chunk", "kind", "node", "n", "comp", "set"]
+    held = dealt.select("node", "part").join(chunks.drop("c"), "part").select("node", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"))
+    asking = join_unique(routes, chunks, "part").select("node", "part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"))
+    return search_clusters(held.unionByName(asking).join(sets.select("node", "n", "comp", "set"), "node").select(*names), rule)
+
+
+def _classes(docs: DataFrame, num: int, den: int, k: int, part: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, key, n_shingles, component_id, n_links, first (no row of the class goes before this one)."""
     spark, rule, work = docs.sparkSession, Threshold(num, den), work_dir(docs.sparkSession, "jaccard")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", row_key().alias("key"), "text")
     signed = saved(signatures(docs, rule, k), f"{work}/signed")
-    again = signed.filter("doc_id IS NOT NULL AND n > 0").groupBy("doc_id", "node").count().filter("count > 1")
-    texts = docs if again.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
+    again = signed.filter("n > 0").groupBy("key").count().filter("count > 1")
+    texts = docs if again.isEmpty() else docs.withColumn("repeated", F.lit(True))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     nodes = saved(
-        signed.filter("n > 0").select("doc_id", "n", "node", "low").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low")),
+        signed.filter("n > 0").groupBy("node").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"), F.min(order).alias("first"), F.count("*").alias("c")),
         f"{work}/nodes",
     )
-    # 2. groups of sets that share a low hash
-    low = nodes.filter("rep IS NOT NULL").select("node", F.explode("low").alias("h"))
-    shared = low.groupBy("h").agg(F.min("node").alias("center"), F.max("node").alias("top")).filter("center <> top").select("h", "center")
-    pairs = saved(low.join(shared, "h").filter("node <> center").select("center", "node").distinct(), f"{work}/pairs")
-    parts = pairs.groupBy("center").agg(F.count("*").alias("c")).select("center", F.ceil(F.col("c") / part).cast("int").alias("parts"))
-    heads = parts.select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(1).alias("head"), F.col("center").alias("node"))
-    rest = pairs.join(parts, "center").select("center", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(0).alias("head"), "node")
-    members = heads.unionByName(rest)
-    members = saved(members.join(nodes.select("node", "rep"), "node"), f"{work}/members")
+    # 2. groups of sets that share a low hash, in parts of about so many hashes, each with the group's center
+    low = nodes.select(F.struct("node", "rep", "n").alias("x"), F.explode("low").alias("h"))
+    shared = low.groupBy("h").agg(F.min("x").alias("center"), F.max("x.node").alias("top"), F.count("*").alias("c")).filter("center.node <> top").select("h", "center", "c")
+    pairs = join_unique(low, saved(shared, f"{work}/shared"), "h").filter("x.node <> center.node").select("center", "x").distinct()
+    pairs = saved(pairs, f"{work}/pairs")
+    sizes = pairs.groupBy("center").agg(F.ceil(F.greatest(F.sum("x.n") / part, F.count("*") / GROUP_SETS)).cast("int").alias("parts"), F.count("*").alias("c"))
+    sizes = saved(sizes.select(F.col("center.node").alias("group"), "center", "parts", "c"), f"{work}/groups")
+    heads = sizes.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(1).alias("head"), "center.node", "center.rep")
+    rest = join_unique(pairs.select(F.col("center.node").alias("group"), "x"), sizes.drop("center"), "group")
+    rest = rest.select("group", F.pmod(F.xxhash64("x.node"), F.col("parts")).cast("int").alias("salt"), F.lit(0).alias("head"), "x.node", "x.rep")
+    members = saved(heads.unionByName(rest), f"{work}/members")
     links = saved(search_groups(fetch_sets(texts, members, k), rule), f"{work}/links")
 
     # 3. links between the components of these
@@ -389,8 +417,7 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
     held = held.select("node", "n", "prefix", F.coalesce("root", "node").alias("comp"), F.lit(True).alias("asks"))
     n = F.col("n")
     open_ = sieve(held, "prefix", across(held, "prefix", f"{work}/across")).filter(F.col("held") >= F.greatest(F.lit(1), F.ceil(n / 20)))
-    open_ = open_.select("node", "n", "comp").distinct().join(nodes.filter("rep IS NOT NULL").select("node", "rep"), "node")
-    open_ = saved(open_, f"{work}/open")
+    open_ = saved(open_.select("node", "n", "comp").distinct().join(nodes.select("node", "rep"), "node"), f"{work}/open")
     more = []
     if open_.count():
         half = saved(fetch_sets(texts, open_, k, half=True).withColumn("asks", F.lit(True)), f"{work}/half")
@@ -398,21 +425,49 @@ def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5,
         left = sieve(half, "set", across(half, "set", f"{work}/across-half")).filter(F.col("held") >= need)
         few = saved(left.join(open_.select("node", "rep"), "node").select("node", "n", "comp", "rep"), f"{work}/left")
         if few.count():
-            more.append(saved(last_search(texts, few, rule, k, work, cluster_part), f"{work}/more"))
+            more.append(saved(last_search(texts, few, rule, k, work, part), f"{work}/more"))
     for x in more:
         links = links.unionByName(x)
 
-    # 4. classes
+    # 4. classes: of the sets that have links or copies, then of their rows
     root = components(links, f"{work}/all") if more else root
-    keyed = signed.select("doc_id", "n", "node")
-    if root is not None:
-        degree = links.filter("a <> b").distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        keyed = keyed.join(root, "node", "left").join(degree, "node", "left")
-    else:
-        keyed = keyed.withColumn("root", F.lit(None).cast("long")).withColumn("n_links", F.lit(0).cast("long"))
-    keyed = keyed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    first = keyed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
-    return keyed.join(first, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), "n_links")
+    if root is None:
+        root = spark.createDataFrame([], "node long, root long")
+    degree = links.filter("a <> b").distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    many = nodes.select("node", "first", "c").join(root, "node", "left").filter("root IS NOT NULL OR c > 1").join(degree, "node", "left")
+    many = saved(many.select("node", "c", "first", F.coalesce("root", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), f"{work}/many")
+    firsts = saved(many.groupBy("class").agg(F.min("first").alias("least"), F.count("*").alias("c")), f"{work}/firsts")
+    many = saved(join_unique(many.withColumnRenamed("c", "copies").drop("first"), firsts, "class").withColumnRenamed("copies", "c").drop("class"), f"{work}/classes")
+    for name in ("shared", "pairs", "groups", "sizes", "members", "first", "across", "open", "half", "across-half", "left", "whole", *(f"{x}-{i}" for x in ("across", "cut") for i in range(3)), "holders", "rare", "owners", "clusters", "clustered", "dealt", "routes", "chunks", "many", "firsts", "links", "more", "all", "nodes"):
+        remove(spark, f"{work}/{name}")
+    rows = join_unique(signed.select("doc_id", "key", F.col("n").alias("n_shingles"), "node"), many, "node", how="left")
+    return rows.select(
+        "doc_id", "key", "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("least").isNull() | (F.col("least.key") == F.col("key"))).alias("first"),
+    )
+
+
+def jaccard_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, part: int = 150_000) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, n_links (links verified on the set's way to its class).
+
+    part: hashes in one part of a large group or cluster, about.
+    """
+    return _classes(docs, num, den, k, part).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5) -> DataFrame:
+    """docs with one row of each class: the one with the least doc_id, then the least key of (doc_id, text).
+
+    Rows without words are in no class and stay; rows that repeat in doc_id and text stay once.
+    """
+    work, names = work_dir(docs.sparkSession, "kept"), docs.columns
+    classes = saved(_classes(docs, num, den, k, 150_000).select("key", "n_shingles", "first"), f"{work}/classes")
+    gone = saved(classes.filter("NOT first").select(F.col("key").alias("__key")).distinct(), f"{work}/gone")
+    kept = docs.withColumn("__key", row_key()).join(sized(gone), "__key", "left_anti")
+    twice = saved(classes.filter("first AND n_shingles > 0").groupBy(F.col("key").alias("__key")).count().filter("count > 1").select("__key"), f"{work}/twice")
+    if not twice.isEmpty():
+        kept = kept.join(sized(twice), "__key", "left_anti").unionByName(kept.join(sized(twice), "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*names)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, with_text, words_of
+from .common import BASE, map_arrow, mix, with_text, words_of
 
 NAMES = (
     "log_words", "mean_word", "spread_word", "distinct_words", "top_word", "short_words", "upper", "digits",
@@ -60,8 +60,8 @@ def statistics(text: str | None) -> np.ndarray:
     line = np.searchsorted(breaks, start)
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     with np.errstate(over="ignore"):
-        weight = h * (np.arange(n, dtype=np.uint64) - np.repeat(first, np.diff(np.append(first, n))).astype(np.uint64) + np.uint64(3))
-        lines = np.add.reduceat(weight, first)
+        place = np.arange(n, dtype=np.uint64) - np.repeat(first, np.diff(np.append(first, n))).astype(np.uint64)
+        lines = np.add.reduceat(mix(h + (place + np.uint64(1)) * np.uint64(BASE)), first)
     plain = np.concatenate([[0], np.cumsum(_LOWER[raw] | _UPPER[raw])])
     n_plain = int((plain[end] - plain[start] == length).sum())
     twice = int((pairs[1:] == pairs[:-1]).sum())

@@ -20,15 +20,18 @@ the least node that holds the whole run, and runs that go on in both texts are
 one passage. No exact run of min_words words that a lesser node holds is left.
 A passage without such a run (a fuzzy one) is found by its chains alone.
 
-Per document at most its own seeds, chains and words meet in one task; of runs,
-the places of one run.
-
-Defined cases: null or empty texts, and texts below K words, have no seeds;
-copies of a word sequence repeat their least doc_id's as a whole if they have
-min_words words; rows with a null doc_id own and repeat nothing; repeated rows
-are copies of themselves with the same id and are not reported; a passage that
-recurs only inside one document is none; an empty table gives no rows; other
-columns are passed through by cut_passages().
+Per document at most its own seeds, chains and words meet in one task. Owners
+come from partial aggregates; seeds and runs that very many rows hold are joined
+where the rows are (join_unique).
+
+Rows are told apart by a hash of doc_id and text, so doc_ids may repeat or be
+null. Defined cases: null or empty texts, and texts below K words, have no
+seeds; copies of a word sequence repeat their first row's (the least doc_id,
+then key; null ids last) as a whole if they have min_words words; rows that
+repeat in doc_id and text are one row and not reported; a passage that recurs
+only inside one document is none; very long texts are worked on whole, windows
+of seeds in blocks; an empty table gives no rows; other columns are passed
+through by cut_passages().
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U, _powers, bitmap, hash_bitmap, hash_in_bitmap, in_bitmap, map_arrow, mix, saved, shingles, sized, slot, words_of, work_dir
+from .common import U, bitmap, hash_bitmap, hash_in_bitmap, in_bitmap, join_unique, map_arrow, remove, row_key, run_hashes, saved, sequence_hash, shingles, sized, slot, words_of, work_dir
 
 K, W = 6, 12
 GAP_COST = 0.1
@@ -77,20 +80,12 @@ def shared_runs(words: np.ndarray, bits: np.ndarray, n: int) -> tuple[np.ndarray
         hit = np.concatenate([hash_in_bitmap(bits, h[x].view(np.int64)) for x in picks(h, W)])
         count = np.concatenate([[0], np.cumsum(hit)])
         at = np.flatnonzero(count[inner:] - count[:-inner] == inner)
-    with np.errstate(over="ignore"):
-        p, q = _powers(len(words) + 1)
-        pre = np.concatenate([np.zeros(1, dtype=U), np.cumsum(words * p[: len(words)], dtype=U)])
-        return mix((pre[at + n] - pre[at]) * q[at]), at
+    return run_hashes(words, n)[at], at
 
 
 def node_of(words: np.ndarray) -> int | None:
     """Hash of a word sequence; the order of nodes decides who owns a passage."""
-    n = len(words)
-    if not n:
-        return None
-    with np.errstate(over="ignore"):
-        v = (words * (np.arange(n, dtype=U) * U(2) + U(1)) + (words >> U(7)) * U(BASE)).sum(dtype=U) + U(n) * U(0xD1342543DE82EF95)
-        return int(mix(np.array([v], dtype=U))[0].view(np.int64))
+    return sequence_hash(words) if len(words) else None
 
 
 def _lists(parts: list[np.ndarray], kind) -> pa.Array:
@@ -99,7 +94,15 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_words, h array<long>, pos array<int>: one row per document."""
+    """doc_id, key, node, n_words, h array<long>, pos array<int>, from docs(doc_id, key, text): one row per document.
+
+    pos is -1 - position where the seed has occurred before in its text.
+    """
+
+    def first_or_again(h, at):
+        again = np.ones(len(h), dtype=bool)
+        again[np.unique(h, return_index=True)[1]] = False
+        return np.where(again, -1 - at, at)
 
     def run(batches):
         for whole in batches:
@@ -108,11 +111,25 @@ def seed_table(docs: DataFrame) -> DataFrame:
                 words = [words_of(t)[0] for t in b.column("text").to_pylist()]
                 got = [winnow(x) for x in words]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([node_of(x) for x in words], pa.int64()), pa.array([len(x) for x in words], pa.int64()), _lists([h.view(np.int64) for h, _ in got], np.int64), _lists([p for _, p in got], np.int32)],
-                    ["doc_id", "node", "n_words", "h", "pos"],
+                    [b.column("doc_id"), b.column("key"), pa.array([node_of(x) for x in words], pa.int64()), pa.array([len(x) for x in words], pa.int64()), _lists([h.view(np.int64) for h, _ in got], np.int64), _lists([first_or_again(h, p) for h, p in got], np.int32)],
+                    ["doc_id", "key", "node", "n_words", "h", "pos"],
                 )
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, node long, n_words long, h array<long>, pos array<int>")
+    return map_arrow(docs, run, "doc_id long, key long, node long, n_words long, h array<long>, pos array<int>")
+
+
+def positions(pos: np.ndarray) -> np.ndarray:
+    return np.where(pos < 0, -1 - pos, pos)
+
+
+def owners(held: DataFrame, path: str) -> DataFrame:
+    """h, owner (the least node that holds it), owner_pos (its first position there), c (rows), of what several nodes hold.
+
+    held(node, h, pos): pos below 0 marks a further occurrence in the same node. Partial sums of each task are exchanged.
+    """
+    first = F.min_by("pos", F.when(F.col("pos") >= 0, F.col("node")))
+    found = held.groupBy("h").agg(F.min("node").alias("owner"), first.alias("owner_pos"), F.max("node").alias("top"), F.count("*").alias("c"))
+    return saved(found.filter("owner <> top").select("h", "owner", "owner_pos", "c"), path)
 
 
 def shared_seeds(lists: DataFrame, bits) -> DataFrame:
@@ -127,7 +144,7 @@ def shared_seeds(lists: DataFrame, bits) -> DataFrame:
                 flat = h.flatten().to_numpy()
                 hit = hash_in_bitmap(bits.value, flat)
                 node = np.repeat(b.column("node").to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(flat[hit]), pa.array(pos.flatten().to_numpy()[hit])], ["node", "h", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(flat[hit]), pa.array(positions(pos.flatten().to_numpy()[hit]))], ["node", "h", "pos"])
 
     return map_arrow(lists, run, "node long, h long, pos int")
 
@@ -144,16 +161,16 @@ def exact_runs(docs: DataFrame, table: DataFrame, nodes: DataFrame, bits, n: int
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                h, pos = b.column("h"), b.column("pos").flatten().to_numpy()
+                h, pos = b.column("h"), positions(b.column("pos").flatten().to_numpy())
                 sizes, hit = np.diff(h.offsets.to_numpy()), hash_in_bitmap(bits.value, h.flatten().to_numpy())
                 row = np.repeat(np.arange(b.num_rows), sizes)
                 at, row = np.flatnonzero(hit), row[hit]
                 cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row) > 0)])) if len(at) else at
                 end = np.append(cut[1:], len(at)) - 1 if len(at) else at
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.unique(row[cut[pos[at[end]] - pos[at[cut]] >= gap]])))], ["doc_id"])
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.unique(row[cut[pos[at[end]] - pos[at[cut]] >= gap]])))], ["key"])
 
-    askers = table if n < K + W - 1 else map_arrow(table.select("doc_id", "h", "pos"), ask, "doc_id long")
-    wanted = bitmap(askers.select("doc_id").distinct().join(nodes.select("doc_id"), "doc_id"), "doc_id")  # copies have their node's runs
+    askers = table.select("key") if n < K + W - 1 else map_arrow(table.select("key", "h", "pos"), ask, "key long")
+    wanted = bitmap(askers.distinct().join(nodes.select("first.key"), "key"), "key")  # copies have their node's runs
 
     def run(batches):
         for whole in batches:
@@ -164,11 +181,15 @@ def exact_runs(docs: DataFrame, table: DataFrame, nodes: DataFrame, bits, n: int
                 sizes = [len(h) for h, _ in got]
                 if sum(sizes):
                     node = np.repeat(np.array([node_of(x) or 0 for x in words], dtype=np.int64), sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([h for h, _ in got]).view(np.int64)), pa.array(np.concatenate([p for _, p in got]).astype(np.int32))], ["node", "h", "pos"])
-
-    places = map_arrow(docs.filter("doc_id IS NOT NULL").select(slot("doc_id").alias("slot"), "text"), run, "node long, h long, pos int")
-    by_run = Window.partitionBy("h").orderBy("node", "pos")
-    owned = places.select("node", "pos", F.first("node").over(by_run).alias("owner"), F.first("pos").over(by_run).alias("owner_pos")).filter("node <> owner")
+                    again = np.concatenate([np.ones(len(h), dtype=bool) for h, _ in got])
+                    for (h, _), z in zip(got, np.cumsum(sizes), strict=True):
+                        again[np.unique(h, return_index=True)[1] + z - len(h)] = False
+                    pos = np.concatenate([p for _, p in got])
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([h for h, _ in got]).view(np.int64)), pa.array(np.where(again, -1 - pos, pos).astype(np.int32))], ["node", "h", "pos"])
+
+    places = saved(map_arrow(docs.select(slot("key").alias("slot"), "text"), run, "node long, h long, pos int"), f"{work}/places")
+    owned = join_unique(places, owners(places, f"{work}/run-owners"), "h").filter("node <> owner")
+    owned = owned.select("node", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "owner", "owner_pos")
     same = ["node", "owner", F.col("pos") - F.col("owner_pos")]
     along = Window.partitionBy(*same).orderBy("pos")
     new = F.coalesce((F.col("pos") - F.lag("pos").over(along) > n).cast("int"), F.lit(1))
@@ -355,70 +376,108 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[
     return out
 
 
-def align_chains(docs: DataFrame, chains: DataFrame, nodes: DataFrame) -> DataFrame:
+#: Chains that meet one copy of their owner's words, about; owners' words are cut on a grid, so that few cuts differ.
+MEETING, GRID = 1_000, 64
+
+
+def align_chains(docs: DataFrame, chains: DataFrame, nodes: DataFrame, work: str) -> DataFrame:
     """node, owner, first, last, owner_first, owner_last (ends exclusive), identity of the passages along chains.
 
-    Of the texts only the words of chains and their flanks are exchanged.
+    Of the texts only the words of chains and their flanks are exchanged: first
+    by node, where they are cut, then by the stretch of the owner. An owner's
+    stretch is sent once for every MEETING chains that need it, not once for
+    each chain.
     """
-    sides = F.array(*[
-        F.struct(F.lit(s).alias("side"), F.col(n).alias("node"), F.greatest(F.lit(0), F.element_at(p, 1) - FLANK).alias("lo"), (F.element_at(p, -1) + K + FLANK).alias("hi"))
-        for s, n, p in ((0, "node", "xs"), (1, "owner", "ys"))
-    ])
-    spans = chains.select("id", F.explode(sides).alias("s")).select("id", "s.*")
-    wanted = spans.select("node").distinct().join(nodes, "node").select("node", "doc_id")
-    bits = bitmap(wanted, "doc_id")
+    from_to = lambda p: (F.greatest(F.lit(0), F.element_at(p, 1) - FLANK), F.element_at(p, -1) + K + FLANK)
+    (lo_a, hi_a), (lo_b, hi_b) = from_to("xs"), from_to("ys")
+    lo_b, hi_b = (F.floor(lo_b / GRID) * GRID).cast("int"), (F.ceil(hi_b / GRID) * GRID).cast("int")
+    cut = chains.select("node", "owner", "xs", "ys", lo_a.alias("lo"), hi_a.alias("hi"), lo_b.alias("lo_b"), hi_b.alias("hi_b"), F.xxhash64("owner", lo_b, hi_b).alias("span"))
+    sizes = cut.groupBy("span").agg(F.first("owner").alias("owner"), F.first("lo_b").alias("lo_b"), F.first("hi_b").alias("hi_b"), F.count("*").alias("c"))
+    sizes = saved(sizes.withColumn("parts", F.ceil(F.col("c") / MEETING).cast("int")), f"{work}/spans")
+    none = lambda kind: F.lit(None).cast(kind)
+    ask = join_unique(cut.drop("hi_b"), sizes.select("span", "parts", "c"), "span")
+    salt = F.pmod(F.xxhash64("node", "xs"), F.col("parts")).cast("int").alias("salt")
+    names = ["node", "kind", "span", "salt", "lo", "hi", "owner", "xs", "ys", "lo_b", "words"]
+    ask = ask.select("node", F.lit(2).alias("kind"), "span", salt, "lo", "hi", "owner", "xs", "ys", "lo_b", none("array<int>").alias("words"))
+    lead = sizes.select(
+        F.col("owner").alias("node"), F.lit(1).alias("kind"), "span", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"),
+        "owner", none("array<int>").alias("xs"), none("array<int>").alias("ys"), "lo_b", none("array<int>").alias("words"),
+    )
+    both = saved(ask.unionByName(lead), f"{work}/asks")
+    wanted = both.select("node").distinct().join(nodes.select("node", "first.key"), "node").select("key")
+    bits = bitmap(wanted, "key")
 
     def fetch(batches):
         for whole in batches:
             at = np.flatnonzero(in_bitmap(bits.value, whole.column("slot").to_numpy()))
             for lo in range(0, len(at), 256):
-                b = whole.take(pa.array(at[lo : lo + 256]))
-                words = [words_of(t)[0] for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([node_of(x) for x in words], pa.int64()), _lists([x.astype(np.uint32).view(np.int32) for x in words], np.int32)], ["doc_id", "node", "words"])
+                words = [words_of(t)[0] for t in whole.column("text").take(pa.array(at[lo : lo + 256])).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in words], pa.int64()), _lists([x.astype(np.uint32).view(np.int32) for x in words], np.int32)], ["node", "words"])
 
-    texts = map_arrow(docs.filter("doc_id IS NOT NULL").select("doc_id", slot("doc_id").alias("slot"), "text"), fetch, "doc_id long, node long, words array<int>")
-    texts = texts.join(wanted, ["doc_id", "node"]).select("node", "words")
-    parts = spans.join(texts, "node").select("id", "side", "lo", F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("words"))
-    a = parts.filter("side = 0").select("id", F.col("lo").alias("lo_a"), F.col("words").alias("a"))
-    b = parts.filter("side = 1").select("id", F.col("lo").alias("lo_b"), F.col("words").alias("b"))
-    both = chains.join(a, "id").join(b, "id").select("node", "owner", "xs", "ys", "lo_a", "lo_b", "a", "b")
-    names = ["node", "owner", "first", "last", "owner_first", "owner_last", "identity"]
+    texts = map_arrow(docs.select(slot("key").alias("slot"), "text"), fetch, "node long, words array<int>")
+    blank = {"kind": "int", "span": "long", "salt": "int", "lo": "int", "hi": "int", "owner": "long", "xs": "array<int>", "ys": "array<int>", "lo_b": "int"}
+    texts = texts.filter("node IS NOT NULL").select("node", F.lit(0).alias("kind"), *[none(t).alias(c) for c, t in blank.items() if c != "kind"], "words")
+
+    def slices(batches):
+        now, words = None, None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                kind, node = b.column("kind").to_numpy(), b.column("node").to_numpy()
+                first, last = (b.column(c).fill_null(0).to_numpy() for c in ("lo", "hi"))
+                take, cuts = [], []
+                for i in range(b.num_rows):
+                    if kind[i] == 0:  # rows of a text that repeats follow each other
+                        now, words = node[i], b.column("words")[i].values.to_numpy()
+                    elif node[i] == now:
+                        take.append(i)
+                        cuts.append(words[first[i] : last[i]])
+                got = b.take(pa.array(take, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(got.column(c) for c in names[:-1]), _lists(cuts, np.int32)], names)
+
+    kinds = "node long, kind int, span long, salt int, lo int, hi int, owner long, xs array<int>, ys array<int>, lo_b int, words array<int>"
+    met = both.unionByName(texts).select(*names).repartition("node").sortWithinPartitions("node", "kind")
+    met = map_arrow(met, slices, kinds).repartition("span", "salt").sortWithinPartitions("span", "salt", "kind")
+    out = ["node", "owner", "first", "last", "owner_first", "owner_last", "identity"]
 
     def run(batches):
+        now, b = None, None
         for whole in batches:
             for lo in range(0, whole.num_rows, 128):
-                rows = []
-                for r in whole.slice(lo, 128).to_pylist():
-                    got = align(np.array(r["a"], dtype=np.int64), np.array(r["b"], dtype=np.int64), np.array(r["xs"]) - r["lo_a"], np.array(r["ys"]) - r["lo_b"])
-                    rows += [(r["node"], r["owner"], x0 + r["lo_a"], x1 + r["lo_a"], y0 + r["lo_b"], y1 + r["lo_b"], i) for x0, x1, y0, y1, i in got]
+                rows, part = [], whole.slice(lo, 128)
+                for i, r in enumerate(part.select([c for c in names if c != "words"]).to_pylist()):
+                    words = part.column("words")[i].values.to_numpy()
+                    if r["kind"] == 1:
+                        now, b = (r["span"], r["salt"]), words
+                    elif now == (r["span"], r["salt"]):
+                        got = align(words, b, np.array(r["xs"]) - r["lo"], np.array(r["ys"]) - r["lo_b"])
+                        rows += [(r["node"], r["owner"], x0 + r["lo"], x1 + r["lo"], y0 + r["lo_b"], y1 + r["lo_b"], same) for x0, x1, y0, y1, same in got]
                 cols = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], out)
 
-    return map_arrow(both, run, "node long, owner long, first long, last long, owner_first long, owner_last long, identity double")
+    return map_arrow(met, run, "node long, owner long, first long, last long, owner_first long, owner_last long, identity double")
 
 
 def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, other_id, first, last, other_first, other_last (word numbers, ends exclusive), identity.
+    """docs(doc_id, text) -> doc_id, other_id, first, last, other_first, other_last (word numbers, ends exclusive), identity, key.
 
-    doc_id repeats a passage that other_id keeps: other_id's node is the less.
+    doc_id repeats a passage that other_id keeps: other_id's node is the less. key tells rows with one doc_id apart.
     """
-    work = work_dir(docs.sparkSession, "passages")
-    docs = docs.select("doc_id", "text")
-    table = saved(seed_table(docs), f"{work}/seeds")
-    known = table.filter("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "node", "n_words")
-    nodes = saved(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{work}/nodes")
-    lists = table.filter("doc_id IS NOT NULL AND node IS NOT NULL").select("node", "h", "pos")
-    owned = lists.select("node", F.explode("h").alias("h")).groupBy("h").agg(F.min("node").alias("owner"), F.max("node").alias("top"))
-    owned = saved(owned.filter("owner <> top").select("h", "owner"), f"{work}/owned")
+    spark, work = docs.sparkSession, work_dir(docs.sparkSession, "passages")
+    docs = docs.select("doc_id", row_key().alias("key"), "text")
+    table = saved(seed_table(docs), f"{work}/seeds").filter("node IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    nodes = saved(table.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("c")), f"{work}/nodes")
+    lists = table.select("node", "h", "pos")
+    exploded = lists.select("node", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("node", "s.h", "s.pos")
+    owned = owners(exploded, f"{work}/owned")
     bits = hash_bitmap(owned, "h")
-    held = saved(shared_seeds(lists, bits).join(sized(owned), "h"), f"{work}/held")
-    own = held.filter("node = owner").groupBy("h").agg(F.min("pos").alias("owner_pos"))
-    matches = held.filter("node <> owner").distinct().join(own, "h").select("node", "owner", "pos", "owner_pos")
-    chains = chain_matches(matches)
-    chains = saved(chains.withColumn("id", F.xxhash64("node", "owner", F.element_at("xs", 1), F.element_at("ys", 1), F.element_at("xs", -1))), f"{work}/chains")
-    aligned = saved(align_chains(docs, chains, nodes), f"{work}/aligned")
-    runs = exact_runs(docs, table.filter("doc_id IS NOT NULL AND node IS NOT NULL"), nodes, bits, min_words, work)
-    aligned = saved(with_rest(aligned, runs), f"{work}/passages")
+    held = saved(shared_seeds(lists, bits), f"{work}/held")
+    matches = join_unique(held, owned, "h").filter("node <> owner").select("node", "owner", "pos", "owner_pos").distinct()
+    chains = saved(chain_matches(matches), f"{work}/chains")
+    aligned = saved(align_chains(docs, chains, nodes, work), f"{work}/aligned")
+    runs = exact_runs(docs, table, nodes, bits, min_words, work)
+    aligned = saved(with_rest(aligned, runs), f"{work}/rest")
 
     # passages of a node that overlap or touch make one stretch, which must be long enough
     before = Window.partitionBy("node").orderBy("first", "last", "owner", "owner_first")
@@ -427,24 +486,33 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = marked.withColumn("stretch", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("node", "stretch")
     marked = marked.withColumn("words", F.max("last").over(whole) - F.min("first").over(whole)).filter(F.col("words") >= min_words)
-    found = marked.join(nodes, "node").join(nodes.select(F.col("node").alias("owner"), F.col("doc_id").alias("other_id")), "owner")
-    columns = ["doc_id", "other_id", "first", "last", "other_first", "other_last", "identity"]
-    found = found.select("doc_id", "other_id", "first", "last", F.col("owner_first").alias("other_first"), F.col("owner_last").alias("other_last"), "identity")
+    own = nodes.select("node", "first.doc_id", "first.key")
+    found = marked.select("node", "owner", *[F.col(c).alias(f"p_{c}") for c in ("first", "last", "owner_first", "owner_last")], "identity").join(own, "node")
+    found = saved(found, f"{work}/found")
+    others = found.groupBy("owner").agg(F.count("*").alias("c")).join(nodes.select(F.col("node").alias("owner"), F.col("first.doc_id").alias("other_id")), "owner")
+    found = join_unique(found, saved(others, f"{work}/others"), "owner")
+    columns = ["doc_id", "other_id", "first", "last", "other_first", "other_last", "identity", "key"]
+    found = found.select("doc_id", "other_id", F.col("p_first").alias("first"), F.col("p_last").alias("last"), F.col("p_owner_first").alias("other_first"), F.col("p_owner_last").alias("other_last"), "identity", "key")
     zero = F.lit(0).cast("long")
-    copies = known.filter(F.col("n_words") >= min_words).join(nodes.select("node", F.col("doc_id").alias("other_id")), "node").filter("doc_id <> other_id")
-    copies = copies.select("doc_id", "other_id", zero.alias("first"), F.col("n_words").alias("last"), zero.alias("other_first"), F.col("n_words").alias("other_last"), F.lit(1.0).alias("identity"))
+    many = saved(nodes.filter("c > 1").select("node", F.col("first.doc_id").alias("other_id"), F.col("first.key").alias("kept"), "c"), f"{work}/many")
+    copies = join_unique(table.filter(F.col("n_words") >= min_words).select("node", "doc_id", "key", "n_words"), many, "node").filter("key <> kept")
+    copies = copies.select("doc_id", "other_id", zero.alias("first"), F.col("n_words").alias("last"), zero.alias("other_first"), F.col("n_words").alias("other_last"), F.lit(1.0).alias("identity"), "key")
+    for name in ("owned", "held", "chains", "aligned", "spans", "asks", "places", "run-owners", "runs", "rest"):
+        remove(spark, f"{work}/{name}")
     return found.unionByName(copies).select(*columns)
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the words of their passages cut out of text; a document left without words goes.
+    """docs(doc_id, text, ...) with the words of their passages cut out of text; a document left without words goes.
 
-    Copies of a document that was cut would lose the passage as well; they are
-    passages of their own, as a whole.
+    Passages belong to rows by the key of doc_id and text, so rows that share a
+    doc_id keep their own. Copies of a document that was cut would lose the
+    passage as well; they are passages of their own, as a whole.
     """
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__spans"))
-    spans = sized(saved(spans, work_dir(docs.sparkSession, "spans")), 100_000)
-    marked = docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans")
+    work = work_dir(docs.sparkSession, "spans")
+    spans = passages.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__spans"))
+    spans = sized(saved(spans, work), 100_000)
+    marked = docs.withColumn("__key", F.xxhash64("doc_id", text)).join(spans, "__key", "left").select(*docs.columns, "__spans")
     names = docs.columns
 
     def run(batches):

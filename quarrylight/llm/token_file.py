@@ -152,7 +152,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFra
         for b in slices(batches):
             texts = b.column("text").to_pylist()
             for lo, hi in chunks(texts):
-                ids, counts = enc.encode(texts[lo:hi])
+                ids, counts = enc.encode_pieces(texts[lo:hi])
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 counts = counts + 1
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(counts), binary(ids.astype(kind), counts)], ["doc_id", "n", "ids"])
