@@ -4,8 +4,8 @@ DataFrame functions only. Every input partition sorts its rows by a random key
 (the local permutation) and writes them, without their texts, as a work table:
 the place p of a row and its rank r within p are then fixed, whatever is lost
 or run again. The driver draws how many rows each partition sends to each
-shard: row p of the matrix is multivariate hypergeometric given what earlier
-rows left, so the sums of rows and columns are exact and the law is that of a
+shard: the places of the shards are split between halves of the partitions by the
+multivariate hypergeometric law, down to single partitions, so the sums of rows and columns are exact and the law is that of a
 uniform permutation cut into shards. Rows of p go to shards by rank; that is
 the exchange. Within a shard a second random key orders the rows; slots come
 from counts of key ranges plus a rank within a range, so no task holds a shard.
@@ -14,8 +14,9 @@ What reaches the driver is one count per input partition (a split, so about
 one per 128 MB of input); the matrix has that many rows of n_shards counts.
 
 Defined cases: a null text has no bytes (size 8, checksum 0); null or repeated
-doc_ids and repeated rows are rows like any other, each with its own slot; an
-empty table gives no rows; other columns are ignored.
+doc_ids and repeated rows are rows like any other, each with its own slot; a very
+long text counts with all its bytes and is not moved; ties of the random keys are
+broken by place; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +28,72 @@ from pyspark.sql import functions as F
 from .common import saved, work_dir
 
 
+#: numpy draws from populations below this size.
+LARGE = 10**9
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """Good ones in a sample drawn without replacement from a population of any size.
+
+    The law is inverted numerically: probabilities relative to the mode are
+    products of the exact ratios of neighbours, taken to both sides until they
+    fall below 1e-20.
+    """
+    lo, hi = max(0, sample - bad), min(sample, good)
+    if lo == hi:
+        return lo
+    mode = min(hi, max(lo, (sample + 1) * (good + 1) // (good + bad + 2)))
+    total = good + bad
+    deviation = (sample * (good / total) * (bad / total) * ((total - sample) / max(1, total - 1))) ** 0.5
+    reach = int(12 * deviation) + 64
+
+    def side(n: int, up: bool) -> np.ndarray:
+        k = np.arange(n, dtype=np.float64)
+        if up:  # from x to x + 1
+            ratio = (good - mode - k) / (mode + 1 + k) * ((sample - mode - k) / (bad - sample + mode + 1 + k))
+        else:
+            ratio = (mode - k) / (good - mode + 1 + k) * ((bad - sample + mode - k) / (sample - mode + 1 + k))
+        p = np.cumprod(ratio)
+        return p[: int(np.searchsorted(-p, -1e-20))]
+
+    above, below = side(min(reach, hi - mode), True), side(min(reach, mode - lo), False)
+    p = np.concatenate([below[::-1], [1.0], above])
+    c = np.cumsum(p)
+    return mode - len(below) + min(int(np.searchsorted(c, rng.random() * c[-1], side="right")), len(p) - 1)
+
+
+def split(rng: np.random.Generator, left: np.ndarray, sample: int) -> np.ndarray:
+    """How many of a sample of rows belong to each shard, if the shards have so many places left."""
+    if int(left.sum()) < LARGE:
+        return rng.multivariate_hypergeometric(left, sample, method="marginals")
+    out, rest = np.zeros_like(left), int(left.sum())
+    for j, n in enumerate(left.tolist()):
+        rest -= n
+        out[j] = hypergeometric(rng, n, rest, sample)
+        sample -= int(out[j])
+    return out
+
+
 def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndarray:
-    """Exact partition-to-shard counts: row sums are counts, column sums differ by one at most."""
-    total, rng = sum(counts), np.random.default_rng(seed)
+    """Exact partition-to-shard counts: row sums are counts, column sums differ by one at most.
+
+    The places of the shards are split between halves of the partitions, again
+    and again; a table of 10**11 rows has few splits beyond what numpy draws.
+    """
+    rng, before = np.random.default_rng(seed), np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
+    total = int(before[-1])
     left = np.full(n_shards, total // n_shards, dtype=np.int64)
     left[: total % n_shards] += 1
-    out = np.empty((len(counts), n_shards), dtype=np.int64)
-    for i, n in enumerate(counts):
-        out[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= out[i]
+    out = np.zeros((len(counts), n_shards), dtype=np.int64)
+    todo = [(0, len(counts), left)] if counts else []
+    while todo:
+        lo, hi, left = todo.pop()
+        if hi - lo == 1:
+            out[lo] = left
+            continue
+        mid = (lo + hi) // 2
+        first = split(rng, left, int(before[mid] - before[lo]))
+        todo += [(mid, hi, left - first), (lo, mid, first)]
     return out
 
 
