@@ -1,4 +1,4 @@
-"""Language identification by error-correcting output codes over byte n-grams.
+r"""Language identification by error-correcting output codes over byte n-grams.
 
 Every language gets a codeword; one linear classifier per code bit is learned
 from hashed byte 2- and 3-grams of lower-cased letters. A text's bits have real
@@ -8,29 +8,33 @@ share of exp(-loss). ambiguous flags texts whose second codeword is as near
 within a margin or whose bits are further from the codeword than the code
 corrects.
 
-Learning takes max_rows texts of each language at most (parameter), chosen by
-a hash of doc_id; the driver gets those texts and nothing else. Whole texts are
-read for prediction.
-
-Defined cases: text null or without a letter: und, score 0; lang or doc_id null:
-not learned from; no language to learn: und; one language: always that one;
-repeated rows stay; an empty table gives no rows; other columns are ignored.
+Learning takes max_rows texts of each language at most (parameter): those with
+the least hashes of doc_id. Executors make their features; the driver adds up
+products of features (DIM x DIM numbers, whatever the number of texts and
+languages) and solves for the weights. Whole texts are read for prediction.
+
+Defined cases: text null or without a letter (\p{L}): und, score 0; lang or
+doc_id null: not learned from; no language to learn: und; one language: always
+that one; two codewords with equal loss: the language that sorts first, flagged
+ambiguous; very long texts are counted in pieces; repeated rows stay; an empty
+table gives no rows; other columns are ignored, and kept ones with the name of a
+result give way to it.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, with_text
+from .common import map_arrow, saved, with_text, work_dir
 
 DIM = 4096
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _KEEP = np.full(256, 32, dtype=np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -69,26 +73,37 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Linear bit classifiers with a ridge penalty, and the codewords."""
-
-    def __init__(self, texts: list[str], langs: list[str], ridge: float = 0.02, sharpness: float = 4.0) -> None:
-        self.langs = sorted(set(langs))
-        self.code = codewords(len(self.langs))
-        self.sharpness = sharpness
-        x = features(texts)
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(DIM, dtype=np.float32)
-        y = self.code[[self.langs.index(v) for v in langs]] if langs else np.zeros((0, 0), dtype=np.float32)
-        x = x - self.mean
-        self.bias = y.mean(axis=0)
-        gram = x @ x.T
-        self.weights = x.T @ np.linalg.solve(gram + ridge * np.eye(len(x), dtype=np.float32), y - self.bias) if self.code.size and len(x) else np.zeros((DIM, self.code.shape[1]), dtype=np.float32)
-        gaps = [(a != b).sum() for a, b in itertools.combinations(self.code, 2)]
-        self.corrects = (min(gaps) - 1) // 2 if gaps else 0
+    """Linear bit classifiers with a ridge penalty, and the codewords.
+
+    parts: (features, language of each row) piece by piece; counts: rows of each language.
+    """
+
+    def __init__(self, counts: dict[str, int], parts=(), ridge: float = 0.02, sharpness: float = 4.0) -> None:
+        self.langs = sorted(counts)
+        self.code, self.sharpness = codewords(len(self.langs)), sharpness
+        number = {v: i for i, v in enumerate(self.langs)}
+        bits = self.code.shape[1]
+        gram, cross = np.zeros((DIM, DIM), dtype=np.float32), np.zeros((DIM, bits))
+        total, labels, n = np.zeros(DIM), np.zeros(bits), 0
+        for x, langs in parts:
+            y = self.code[[number[v] for v in langs]]
+            gram += x.T @ x
+            cross += x.T @ y
+            total, labels, n = total + x.sum(axis=0), labels + y.sum(axis=0), n + len(x)
+        self.mean, self.bias = (total / max(1, n)).astype(np.float32), (labels / max(1, n)).astype(np.float32)
+        self.weights = np.zeros((DIM, bits), dtype=np.float32)
+        if bits and n:
+            gram -= np.outer(self.mean, self.mean) * n
+            gram[np.diag_indices(DIM)] += ridge
+            self.weights = np.linalg.solve(gram, (cross - np.outer(self.mean, self.bias) * n).astype(np.float32))
+        agree = self.code @ self.code.T
+        self.corrects = (int((bits - (agree - 3 * bits * np.eye(len(agree))).max()) // 2) - 1) // 2 if len(agree) > 1 else 0
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         margin = (features(texts) - self.mean) @ self.weights + self.bias
-        loss = np.logaddexp(0, -self.sharpness * margin[:, None, :] * self.code[None]).sum(axis=2)
-        order = np.argsort(loss, axis=1)
+        pull = self.sharpness * margin
+        loss = np.logaddexp(0, -pull) @ (self.code > 0).T + np.logaddexp(0, pull) @ (self.code < 0).T
+        order = np.argsort(loss, axis=1, kind="stable")
         best = order[:, 0]
         share = np.exp(loss.min(axis=1, keepdims=True) - loss)
         wrong = (np.sign(margin) != self.code[best]).sum(axis=1)
@@ -99,17 +114,33 @@ class Model:
 
 def learn(docs: DataFrame, usable: Column, max_rows: int = 400) -> Model:
     """Model from docs(doc_id, text, lang) where usable; max_rows texts of each language at most."""
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {x["lang"]: x["n"] for x in docs.filter(usable).groupBy("lang").agg(F.count("*").alias("n")).collect() if x["lang"] is not None}
+    own = docs.filter(usable & F.col("lang").isNotNull())
+    counts = {x["lang"]: x["n"] for x in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not counts:
-        return Model([], [])
-    share = F.create_map(*[v for k, n in counts.items() for v in (F.lit(k), F.lit(min(1.0, 1.5 * max_rows / n)))])
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
-    taken: dict[str, list[str]] = {}
-    for x in chosen.toLocalIterator():
-        if len(own := taken.setdefault(x["lang"], [])) < max_rows:
-            own.append(x["text"])
-    return Model([t for k in sorted(taken) for t in taken[k]], [k for k in sorted(taken) for _ in taken[k]])
+        return Model({})
+    wide = 1 << 53
+    share = docs.sparkSession.createDataFrame([(k, int(min(1.0, 2.0 * max_rows / n) * wide)) for k, n in counts.items()], "lang string, below long")
+    h = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(wide))
+    near = own.select("text", "lang", h.alias("h")).join(F.broadcast(share), "lang").filter(F.col("h") < F.col("below")).filter(F.col("text").rlike(r"\p{L}"))
+    least = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("place") <= max_rows)
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                x = features(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+
+    least = saved(least.select("lang", "text"), work_dir(docs.sparkSession, "languages"))
+    learned = {x["lang"]: x["n"] for x in least.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    made = map_arrow(least, run, "lang string, x binary")
+
+    def parts():
+        rows = iter(made.toLocalIterator())
+        while some := list(itertools.islice(rows, 512)):
+            yield np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in some]), [r["lang"] for r in some]
+
+    return Model(learned, parts())
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
