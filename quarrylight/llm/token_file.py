@@ -12,12 +12,16 @@ bit-offset checkpoints, one for every SEGMENT ids, from which a table of
 Steps: (1) encode the texts once and store ids as a work table; (2) sum the
 counts of ids over all documents, partial sums in each task; the driver gets
 one count per vocabulary id and computes code lengths by package-merge;
-(3) encode documents, exchange them by doc_id range, write blocks; (4) read the
-files back. Ranges come from quantiles of doc_id, sized by bytes.
+(3) code documents, exchange the coded bytes once, by range, and write blocks;
+(4) read the files back; the ids before a range come from one sum per range.
+Ranges are cut by (doc_id, checksum of the ids) at fine quantiles, which are put
+together until a range has about range_bytes of ids, so a doc_id that very many
+rows share is spread as well.
 
 Defined cases: null text has the end id alone; null doc_ids come first; rows
-with equal doc_id stand together in order of their ids' checksum; an empty
-table makes a file with no block; other columns are ignored.
+with equal doc_id stand together in order of their ids' checksum (equal rows are
+the same in any order); a very long text is a block of its own; an empty table
+makes a file with no block; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,6 +185,62 @@ def count_ids(stored: DataFrame, kind: str) -> DataFrame:
     return map_arrow(stored.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _keys(ids: pa.Array) -> np.ndarray:
+    """doc_ids with nulls before all others."""
+    return ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def range_of(key: np.ndarray, tie: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The number of cuts (doc_id, tie) that are not above each (key, tie)."""
+    lo, hi = np.searchsorted(cuts[0], key, side="left"), np.searchsorted(cuts[0], key, side="right")
+    out = lo.copy()
+    for i in np.flatnonzero(lo < hi):
+        out[i] = lo[i] + np.searchsorted(cuts[1][lo[i] : hi[i]], tie[i], side="right")
+    return out
+
+
+def range_cuts(stored: DataFrame, n: int, fine: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """About n - 1 cuts (doc_id, tie), ascending, that part the ids of stored(doc_id, n) into ranges of like size.
+
+    Quantiles of doc_id give `fine` buckets a range; their sums of ids (one number each) say
+    where to cut. A bucket of several ranges' size is cut by tie, a checksum, in equal steps.
+    """
+    none = np.empty(0, dtype=np.int64)
+    if n <= 1:
+        return none, none
+    at = np.array(sorted({int(x) for x in stored.approxQuantile("doc_id", [i / (n * fine) for i in range(1, n * fine)], 0.5 / (n * fine))}), dtype=np.int64)
+
+    def run(batches):
+        total = np.zeros(2 * len(at) + 2, dtype=np.int64)
+        for b in batches:
+            key = _keys(b.column("doc_id"))
+            # bucket 2 i + 1 is the doc_id of a cut alone, 2 i what lies before it
+            np.add.at(total, np.searchsorted(at, key, side="left") + np.searchsorted(at, key, side="right"), b.column("n").to_numpy())
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    sums = np.zeros(2 * len(at) + 2)
+    for x in map_arrow(stored.select("doc_id", "n"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        sums[x["bucket"]] = x["n"]
+    step, held, ids, ties = max(1.0, sums.sum() / n), 0.0, [], []
+    low = np.iinfo(np.int64).min
+    for bucket, size in enumerate(sums):
+        alone = bucket % 2 == 1
+        # the first bucket may be all nulls, so it can be cut by tie of the nulls
+        key = int(at[bucket // 2]) if alone else low if bucket == 0 else None
+        if held and held + size > step and alone:
+            ids.append(key)
+            ties.append(0)
+            held = 0.0
+        if key is not None and size > 1.5 * step:
+            k = int(size // step)
+            ids += [key] * k
+            ties += [(i + 1) * (1 << 32) // (k + 1) for i in range(k)]
+            held, size = 0.0, size / (k + 1)
+        held += size
+    return np.array(ids, dtype=np.int64), np.array(ties, dtype=np.int64)
+
+
 def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, max_len: int = 16, range_bytes: int = 32 << 20) -> str:
     """Write the ids of docs(doc_id, text) as a token file under path; see the module for its layout."""
     spark = docs.sparkSession
@@ -200,7 +260,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
 
     size = int((counts * lengths).sum()) // 8
     n_ranges = max(1, size // range_bytes, min(spark.sparkContext.defaultParallelism, size >> 18))
-    cuts = np.array(sorted(set(stored.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges))) if n_ranges > 1 else [], dtype=np.float64)
+    cuts = range_cuts(stored, n_ranges)
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths), cuts))
 
     def coded(batches):
@@ -215,15 +275,15 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
                 data, per_doc, bit = pack(_ids(b, kind), n, size_of, codes, first)
                 seg_off = np.concatenate([[0], np.cumsum(segs)])
                 ids = b.column("doc_id")
-                key = np.array(ids.fill_null(0)).astype(np.float64)
-                to = np.where(np.array(ids.is_null()), 0, np.searchsorted(cuts, key, side="right"))
+                tie = np.array([zlib.crc32(x) for x in raw], dtype=np.int64)
+                to = range_of(_keys(ids), tie, at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to.astype(np.int32)), ids, pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(n), binary(data, per_doc), pa.ListArray.from_arrays(pa.array(seg_off.astype(np.int32)), pa.array(bit))],
+                    [pa.array(to.astype(np.int32)), ids, pa.array(tie), pa.array(n), binary(data, per_doc), pa.ListArray.from_arrays(pa.array(seg_off.astype(np.int32)), pa.array(bit))],
                     ["range", "doc_id", "tie", "n", "payload", "seg_bits"],
                 )
 
     def blocks(batches):
-        at, held, first, block = None, [], 0, 0
+        at, held, first, block, size = None, [], 0, 0, 0
 
         def flush():
             sizes = [len(x["payload"]) for x in held]
@@ -241,19 +301,20 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 for x in whole.slice(lo, 256).to_pylist():
-                    if held and (x["range"] != at or sum(h["n"] for h in held) >= BLOCK_IDS):
+                    if held and (x["range"] != at or size >= BLOCK_IDS):
                         yield flush()
-                        first, block, held = first + sum(h["n"] for h in held), block + 1, []
+                        first, block, held, size = first + size, block + 1, [], 0
                     if x["range"] != at:
                         at, first, block = x["range"], 0, 0
                     held.append(x)
+                    size += x["n"]
         if held:
             yield flush()
 
     layout = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("seg_sizes", pa.list_(pa.int32())), ("seg_bits", pa.list_(pa.int64())), ("payload", pa.binary())])
     kinds = "range int, block long, first long, n long, doc_ids array<long>, doc_sizes array<long>, seg_sizes array<int>, seg_bits array<long>, payload binary"
     parts = map_arrow(stored, coded, "range int, doc_id long, tie long, n long, payload binary, seg_bits array<long>")
-    ordered = parts.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "tie")
+    ordered = parts.repartitionById(len(cuts[0]) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "tie")
     map_arrow(ordered, blocks, kinds).write.parquet(f"{path}/blocks")
     remove(spark, store)
     return path
@@ -269,7 +330,7 @@ def read_token_file(spark, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(lengths)
 
     def run(batches):
-        table = decode_table(shared.value, max_len)
+        table, before = decode_table(shared.value, max_len), bases.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 8):
                 b = whole.slice(lo, 8)
@@ -279,18 +340,17 @@ def read_token_file(spark, path: str) -> DataFrame:
                 seg = np.concatenate([np.array(x["seg_sizes"], dtype=np.int64) for x in blocks])
                 ids = unpack(np.frombuffer(b"".join(x["payload"] for x in blocks), dtype=np.uint8), bit, seg, table, max_len)
                 n = np.concatenate([np.array(x["doc_sizes"], dtype=np.int64) for x in blocks])
-                start = np.concatenate([x["base"] + x["first"] + np.cumsum(x["doc_sizes"]) - x["doc_sizes"] for x in blocks])
+                start = np.concatenate([before[x["range"]] + x["first"] + np.cumsum(x["doc_sizes"]) - x["doc_sizes"] for x in blocks])
                 docs = [i for x in blocks for i in x["doc_ids"]]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start), pa.array(n), binary(ids.astype("<u4"), n)], ["doc_id", "start", "n_tokens", "ids"])
 
     stored = spark.read.parquet(f"{path}/blocks")
     totals = {x["range"]: x["n"] for x in stored.groupBy("range").agg(F.sum("n").alias("n")).collect()}  # one row per range
-    base, bases = 0, []
-    for r in sorted(totals):
-        bases.append((r, base))
-        base += totals[r]
-    placed = stored.join(spark.createDataFrame(bases, "range int, base long"), "range")
-    return map_arrow(placed.select("base", "first", "doc_ids", "doc_sizes", "seg_sizes", "seg_bits", "payload"), run, "doc_id long, start long, n_tokens long, ids binary")
+    sums = np.zeros(2 + max(totals, default=0), dtype=np.int64)
+    for r, n in totals.items():
+        sums[r + 1] = n
+    bases = spark.sparkContext.broadcast(np.cumsum(sums))  # one number per range
+    return map_arrow(stored.select("range", "first", "doc_ids", "doc_sizes", "seg_sizes", "seg_bits", "payload"), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_file(spark, sf_dir: str) -> DataFrame:
