@@ -12,11 +12,13 @@ No shuffle: shards are searched where they are read.
 
 Windows (10 words; a whole item of fewer words) are made from the benchmark on
 the driver in blocks of block_bytes at most, each of which is broadcast; workers
-hold one block at a time. Words are compared by 64-bit hash.
+hold one block at a time. A block takes some 40 times its text's bytes while it is
+made (tens of bytes for every word of an item). Words are compared by 64-bit hash.
 
 Defined cases: null text has no words; an item without words has no window; a
 null item_id marks words but is not listed; repeated items count once, repeated
-documents each; an empty benchmark hits nothing; an empty table gives no rows;
+documents each; a very long text is a shard of its own (some 100 bytes of index
+for every word that the benchmark knows); an empty benchmark hits nothing; an empty table gives no rows;
 other columns are passed through or ignored as named.
 """
 
@@ -153,19 +155,25 @@ class Windows:
     def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
         hashed = [(i, h) for i, t in items if len(h := words_of(t, ALNUM)[0])]
         self.vocabulary = np.unique(np.concatenate([h for _, h in hashed])) if hashed else np.empty(0, dtype=np.uint64)
-        of: dict[bytes, set] = {}
-        for i, h in hashed:
-            s = (np.searchsorted(self.vocabulary, h) + 2).astype("<i8")
-            n = min(WINDOW, len(s))
-            for j in range(len(s) - n + 1):
-                of.setdefault(s[j : j + n].tobytes(), set()).add(i)
-        self.sizes = np.array([len(w) // 8 for w in of], dtype=np.int64)
-        self.patterns = np.zeros((len(of), WINDOW), dtype=np.int64)
-        for k, w in enumerate(of):
-            self.patterns[k, WINDOW - len(w) // 8 :] = np.frombuffer(w, dtype="<i8")
-        listed = [sorted(x for x in v if x is not None) for v in of.values()]
-        self.n_items = np.array([len(x) for x in listed], dtype=np.int64)
-        self.items = np.array([x for v in listed for x in v], dtype=np.int64)
+        count = np.array([max(1, len(h) - WINDOW + 1) for _, h in hashed], dtype=np.int64)
+        every = np.zeros((int(count.sum()), WINDOW), dtype=np.int32)  # right-aligned; symbols begin at 2
+        at = 0
+        for n, (_, h) in zip(count, hashed, strict=True):
+            s = (np.searchsorted(self.vocabulary, h) + 2).astype(np.int32)
+            if len(s) < WINDOW:
+                every[at, WINDOW - len(s) :] = s
+            else:
+                every[at : at + n] = np.lib.stride_tricks.sliding_window_view(s, WINDOW)
+            at += n
+        row = np.dtype((np.void, every.dtype.itemsize * WINDOW))
+        first, back = np.unique(every.view(row).ravel(), return_index=True, return_inverse=True)[1:] if at else (count, count)
+        self.patterns = every[first].astype(np.int64)
+        del every
+        self.sizes = (self.patterns > 0).sum(axis=1)
+        item = np.repeat(np.array([np.iinfo(np.int64).min if i is None else i for i, _ in hashed], dtype=np.int64), count)
+        pairs = np.unique(np.stack([back, item], axis=1), axis=0) if at else np.empty((0, 2), dtype=np.int64)
+        pairs = pairs[pairs[:, 1] != np.iinfo(np.int64).min]
+        self.items, self.n_items = pairs[:, 1], np.bincount(pairs[:, 0], minlength=len(first))
         self.item_at = np.cumsum(self.n_items) - self.n_items
         self.least = int(self.sizes.min()) if len(self.sizes) else 0
 
@@ -196,8 +204,9 @@ class Windows:
         np.add.at(cover, found, 1)
         np.add.at(cover, found + self.sizes[which], -1)
         hit = np.cumsum(cover)[:-1] > 0
-        items = self.items[ragged(self.item_at[which], self.n_items[which])]
-        pairs = np.unique(np.stack([np.repeat(doc[found], self.n_items[which]), items], axis=1), axis=0)
+        once = np.unique(doc[found] * len(self.sizes) + which)  # a window counts once for a document, however often it occurs
+        of, which = once // len(self.sizes), once % len(self.sizes)
+        pairs = np.unique(np.stack([np.repeat(of, self.n_items[which]), self.items[ragged(self.item_at[which], self.n_items[which])]], axis=1), axis=0)
         return hit, pairs[:, 0], pairs[:, 1]
 
 
@@ -214,7 +223,7 @@ def window_blocks(benchmark: DataFrame, block_bytes: int) -> list:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", clean: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", clean: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
     """Kept columns plus n_words, n_hit, items array<long>, spans array<struct<first, last>> (word ranges, merged).
 
     With clean, also cleaned: the text without its spans (from the first byte
