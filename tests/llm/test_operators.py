@@ -149,6 +149,19 @@ def test_held_out_accuracy(spark):
     assert got.filter("predicted = quality").count() >= 0.97 * got.count() > 0
 
 
+@pytest.mark.parametrize("rule", quality_rules.RULES, ids=lambda r: r.name)
+def test_each_rule_decides_alone(spark, rule):
+    plain = " ".join(f"word{i} lower" for i in range(30))
+    bad = {
+        "symbols": plain + " # $ % & | < > #" * 2, "long_words": " ".join(f"{i}abcdefghijklmno" for i in range(30)), "short_words": " ".join(chr(97 + i % 26) for i in range(26)),
+        "repeated_lines": plain + "\nsame\nsame\nsame\nsame", "shouting": plain.upper(), "digits": " ".join(f"{10 ** 6 + i}" for i in range(30)),
+        "bullets": "\n".join(f"- point number {i}" for i in range(30)), "ellipses": "\n".join(f"and so on {i}..." for i in range(20)),
+    }[rule.name]
+    docs = spark.createDataFrame([(1, plain), (2, bad)], "doc_id long, text string")
+    for have in ((), ("n_words", "word_chars")):
+        assert {r.doc_id: r.rejected_by for r in quality_rules.cascade(docs, statistics=have, ordered=[rule]).collect()} == {1: None, 2: rule.name}
+
+
 def test_quality_without_labels(spark, odd):
     labels = spark.createDataFrame([(0, 1), (1, None), (2, 7)], "doc_id long, quality int")
     model = quality_qda.learn(odd, labels)
@@ -159,8 +172,11 @@ def test_quality_without_labels(spark, odd):
 
 
 def test_quality_rules_do_not_depend_on_their_order(spark, odd):
-    docs = odd.withColumns({"n_words": F.lit("clash"), "_t": F.lit("clash")})
-    got = {(r.doc_id, r.text): r for r in quality_rules.cascade(docs).collect()}
+    docs = odd.withColumns({"n_words": F.lit("clash"), "n_lines": F.lit("stays"), "kept": F.lit("clash")})
+    got = {(r.doc_id, r.text): r for r in quality_rules.cascade(docs, statistics=("n_words", "n_repeat_words")).collect()}
+    assert {r.n_lines for r in got.values()} == {"stays"}
+    bare = {(r.doc_id, r.text): r.rejected_by for r in quality_rules.cascade(odd, ordered=list(reversed(quality_rules.RULES))).collect()}
+    assert {k: v is None for k, v in bare.items()} == {k: r.kept for k, r in got.items()}
     assert all(not r.kept and r.base_failed for k, r in got.items() if not k[1] or len(k[1].split()) < 20)
     assert got[(6, ODD[6])].n_repeat_words == 3000 and got[(6, ODD[6])].rejected_by == "repeated_windows"
     ordered = quality_rules.order_rules(odd.select("text"))
