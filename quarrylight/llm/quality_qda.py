@@ -9,14 +9,16 @@ determinants from the factors) and log priors; its slope and offset are fitted
 on the same rows with equal weight of the classes, since a class of mixed junk
 has a broad density that wins over rare clean texts such as very short ones.
 
-Learning takes max_rows labelled rows at most (parameter), chosen by a hash of
-doc_id; their statistics are computed by executors, and the driver gets one
-short vector for each.
+Learning takes max_rows labelled rows at most (parameter), those with the least
+hashes of doc_id; their statistics are computed by executors, and the driver
+gets one short vector for each.
 
 Defined cases: null text is scored as the empty text; without labelled rows of
 both classes every score is the share of label 1, or 0.5; labels other than 0
-and 1, and null doc_ids, are not learned from; repeated rows stay; an empty table
-gives no rows; other columns are ignored.
+and 1, and null doc_ids, are not learned from; of texts that share a labelled
+doc_id the least vector is; a very long text is counted whole, word by word (some
+60 bytes for each); equal scores are equal verdicts; repeated rows stay; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,12 +140,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
     """Discriminant from labels(doc_id, label in 0, 1) and the texts of docs(doc_id, text); max_rows rows at most."""
     own = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     own = own.filter(usable) if usable is not None else own
-    n = own.count()
-    share = int(min(1.0, max_rows / max(1, n)) * 1_000_000)
-    chosen = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share).select("doc_id", F.col(label).alias("_label"))
-    # about max_rows rows of two numbers: a bound that the parameter sets
+    n, wide = own.count(), 1 << 53
+    h = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(wide))
+    chosen = own.select("doc_id", F.col(label).alias("_label"), h.alias("h")).filter(F.col("h") < int(min(1.0, 1.5 * max_rows / max(1, n)) * wide))
+    chosen = chosen.orderBy("h", "_label").limit(max_rows).select("doc_id", "_label").distinct()
+    # max_rows rows of two numbers: a bound that the parameter sets
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(texts, ["_label"], lambda x: [pa.array(list(x))], "x array<double>").collect()
+    # of texts that share a doc_id one counts, so that no more than max_rows rows reach the driver
+    made = with_statistics(texts, ["doc_id", "_label"], lambda x: [pa.array(list(x))], "x array<double>")
+    rows = made.groupBy("doc_id", "_label").agg(F.min("x").alias("x")).orderBy("doc_id", "_label").collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(NAMES))
     return Discriminant(x, np.array([r["_label"] for r in rows], dtype=np.int64))
 

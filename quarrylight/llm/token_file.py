@@ -211,7 +211,7 @@ def range_cuts(stored: DataFrame, n: int, fine: int = 16) -> tuple[np.ndarray, n
     at = np.array(sorted({int(x) for x in stored.approxQuantile("doc_id", [i / (n * fine) for i in range(1, n * fine)], 0.5 / (n * fine))}), dtype=np.int64)
 
     def run(batches):
-        total = np.zeros(2 * len(at) + 2, dtype=np.int64)
+        total = np.zeros(2 * len(at) + 1, dtype=np.int64)
         for b in batches:
             key = _keys(b.column("doc_id"))
             # bucket 2 i + 1 is the doc_id of a cut alone, 2 i what lies before it
@@ -219,7 +219,7 @@ def range_cuts(stored: DataFrame, n: int, fine: int = 16) -> tuple[np.ndarray, n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
-    sums = np.zeros(2 * len(at) + 2)
+    sums = np.zeros(2 * len(at) + 1)
     for x in map_arrow(stored.select("doc_id", "n"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         sums[x["bucket"]] = x["n"]
     step, held, ids, ties = max(1.0, sums.sum() / n), 0.0, [], []
