@@ -878,14 +878,12 @@ def parse(text: str) -> tuple[Node, bool]:
 
 def dotted(n: Node | None) -> str | None:
     """Name of an identifier or member chain; parts that aren't names are left out."""
-    if n is None:
-        return None
-    if n.type == "Identifier":
-        return n.name
-    if n.type == "MemberExpression":
-        obj, prop = dotted(n.kid("object")), property_of(n)
-        return f"{obj}.{prop}" if obj and prop else prop or obj
-    return None
+    parts = []
+    while n is not None and n.type == "MemberExpression":  # chains may be longer than a stack is deep
+        parts.append(property_of(n))
+        n = n.kid("object")
+    parts.append(n.name if n is not None and n.type == "Identifier" else None)
+    return ".".join(p for p in reversed(parts) if p) or None
 
 
 def property_of(n: Node) -> str | None:
@@ -903,14 +901,25 @@ def text_of(n: Node | None) -> str | None:
         return n.value if isinstance(n.value, str) else None
     if n.type == "TemplateLiteral":
         return "*".join(n.quasis)
-    if n.type == "BinaryExpression" and n.op == "+":
-        parts = []  # sums lean left; go down without recursion
-        while n.type == "BinaryExpression" and n.op == "+":
-            parts.append(text_of(n.kid("right")))
-            n = n.kid("left")
-        parts.append(text_of(n))
-        return "".join(p for p in reversed(parts) if p) or None
-    return None
+    return "".join(sum_parts(n)[1]) or None if is_sum(n) else None
+
+
+def is_sum(n: Node) -> bool:
+    return n.type == "BinaryExpression" and n.op == "+"
+
+
+def sum_parts(n: Node) -> tuple[list[Node], list[str]]:
+    """The sums along the left side of a sum, and its known texts: sums[i] has the first len(texts) - i of them.
+
+    Sums lean left, so a chain of terms takes one walk down.
+    """
+    sums, texts = [], []
+    while is_sum(n):
+        sums.append(n)
+        texts.append(text_of(n.kid("right")) or "")
+        n = n.kid("left")
+    texts.append(text_of(n) or "")
+    return sums, texts[::-1]
 
 
 def walk(root: Node):

@@ -9,14 +9,37 @@ from pyspark.sql import functions as F
 BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+#: White space as scripts know it, for a character class; the regex engine's own class is ASCII.
+SPACES = "\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def with_spaces(p: str) -> str:
+    r"""A pattern whose \s and \S mean SPACES, inside character classes (\s only) and outside."""
+    out, inside, i = [], False, 0
+    while i < len(p):
+        two = p[i : i + 2]
+        if two == r"\s":
+            out.append(SPACES if inside else f"[{SPACES}]")
+        elif two == r"\S" and not inside:
+            out.append(f"[^{SPACES}]")
+        elif p[i] == "\\":
+            out.append(two)
+        else:
+            inside = p[i] == "[" or inside and p[i] != "]"
+            out.append(p[i])
+            i -= 1
+        i += 2
+    return "".join(out)
+
+
 def spark_pattern(p: str) -> str:
     """A rule's pattern in Spark's dialect: <b> is an ASCII word boundary, <z> the end of the text."""
-    return p.replace("<b>", BOUNDARY).replace("<z>", r"\z")
+    return with_spaces(p.replace("<b>", BOUNDARY).replace("<z>", r"\z"))
 
 
 def clean_value(v: Column) -> Column:
     """Without one quote at either end, then without white space around."""
-    return F.regexp_replace(F.regexp_replace(v, r"""^["']|["']\z""", ""), r"^[\s\x0B]+|[\s\x0B]+\z", "")
+    return F.regexp_replace(F.regexp_replace(v, r"""^["']|["']\z""", ""), rf"^[{SPACES}]+|[{SPACES}]+\z", "")
 
 
 def html_escape(v: Column) -> Column:

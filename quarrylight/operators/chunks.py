@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import directory_of
+from ..functions.text import directory_of, spark_pattern
 from .scan import conform
 
-# An entry of a chunk map, and a dynamic import. Entries are matched one by one: a repeated group would recurse on large maps.
-ENTRY = r"""\d+:["']([a-zA-Z0-9\-_]+)["']"""
-MAP = r"""\{\d+:["'][a-zA-Z0-9\-_]+["']\s*[,}]"""
+# A chunk map, a name in it, and a dynamic import. The map's entries repeat possessively, so a large map is matched in a loop.
+MAP = r"""\{((?:\d+:["'][a-zA-Z0-9\-_]+["']\s*+,?\s*+)++)\}"""
+NAME = r"""["']([a-zA-Z0-9\-_]+)["']"""
 IMPORT = r"""import\s*\(\s*["']([^"']+\.js)["']\s*\)"""
 
 
@@ -30,9 +30,10 @@ def resolve(base: Column, path: Column) -> Column:
 def chunk_candidates(sources: DataFrame) -> DataFrame:
     """analysis_id, file_ord, url: distinct script URLs that a content names, where its base URL is known."""
     base = directory_of(F.col("base_url"))
-    named = F.when(F.col("content").rlike(MAP), F.regexp_extract_all("content", F.lit(ENTRY), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    maps = F.regexp_extract_all("content", F.lit(spark_pattern(MAP)), F.lit(1))
+    named = F.flatten(F.transform(maps, lambda m: F.regexp_extract_all(m, F.lit(NAME), F.lit(1))))
     named = F.filter(named, lambda n: n != "undefined")
-    imports = F.regexp_extract_all("content", F.lit(IMPORT), F.lit(1))
+    imports = F.regexp_extract_all("content", F.lit(spark_pattern(IMPORT)), F.lit(1))
     urls = F.concat(F.transform(named, lambda n: F.concat(base, n, F.lit(".js"))), F.transform(imports, lambda p: F.when(p.startswith("http"), p).otherwise(resolve(base, p))))
     rows = sources.filter(F.col("base_url").isNotNull() & (F.col("base_url") != ""))
     return rows.select("analysis_id", "file_ord", F.explode(F.array_distinct(urls)).alias("url"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import NAMES
-
 #: Order of discovery within an analysis.
 ORDER = ("file_ord", "stage_ord", "rule_ord", "match_ord")
 
@@ -24,37 +22,53 @@ def dedupe(findings: DataFrame) -> DataFrame:
     return first_wins(findings, "analysis_id", "category", "dedup_key")
 
 
-def drop_known_routes(findings: DataFrame) -> DataFrame:
-    """Without routes (stage 4) whose value was an endpoint by then, other than one from the syntax tree."""
-    ends = findings.filter("category = 'endpoints' AND stage_ord <> 3").groupBy("analysis_id", F.col("value").alias("_v")).agg(F.min("file_ord").alias("_f"))
+def drop_known_routes(found: DataFrame) -> DataFrame:
+    """Deduped findings without routes (stage 4) whose value was an endpoint by then, other than one from the syntax tree."""
+    ends = found.filter("category = 'endpoints' AND stage_ord <> 3").groupBy("analysis_id", F.col("value").alias("_v")).agg(F.min("file_ord").alias("_f"))
     route = F.col("category") == "routes"
-    known = findings.filter(route).alias("r").join(ends.withColumnRenamed("analysis_id", "_a"), (F.col("r.analysis_id") == F.col("_a")) & (F.col("r.value") == F.col("_v")) & (F.col("_f") <= F.col("r.file_ord")), "left_anti")
-    return findings.filter(~route).unionByName(known.select(*findings.columns))
+    known = found.filter(route).alias("r").join(ends.withColumnRenamed("analysis_id", "_a"), (F.col("r.analysis_id") == F.col("_a")) & (F.col("r.value") == F.col("_v")) & (F.col("_f") <= F.col("r.file_ord")), "left_anti")
+    return found.filter(~route).unionByName(known.select(*found.columns))
 
 
-def drop_known_secrets(findings: DataFrame) -> DataFrame:
-    """Without syntax-tree secrets whose quoted text starts inside the value of a secret kept before.
+def known_secrets(found: DataFrame) -> DataFrame:
+    """analysis_id, dedup_key of syntax-tree secrets whose quoted text starts inside the value of a secret that stays and comes before.
 
-    Only secrets of analyses with a syntax-tree secret are folded in order, in
-    one array of each such analysis; all other rows pass by.
+    A secret that starts like one before goes, whether that one stays or not: what
+    hides that one hides this one. The first of each beginning is compared with
+    the secrets that share its first 8 characters. What then hangs on whether
+    another such first one stays is decided in order; these are few.
     """
-    secret = findings.filter("category = 'secrets'")
-    kept = dedupe(secret)
-    row = F.struct(*ORDER, "value", "dedup_key")
-    folded = kept.groupBy("analysis_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max(F.col("stage_ord") == 3).alias("any")).filter("any")
-
-    def step(acc, r):
-        quoted = F.regexp_extract(r["value"], r"""["']([^"']{8,})["']""", 1)
-        seen = (r["stage_ord"] == 3) & (quoted != "") & F.exists(acc["values"], lambda v: F.contains(v, F.substring(quoted, 1, 20)))
-        return F.when(seen, F.struct(acc["values"].alias("values"), F.array_append(acc["gone"], r["dedup_key"]).alias("gone"))).otherwise(
-            F.struct(F.array_append(acc["values"], r["value"]).alias("values"), acc["gone"].alias("gone"))
-        )
-
-    empty = F.array().cast("array<string>")
-    gone = folded.select("analysis_id", F.explode(F.aggregate("rows", F.struct(empty.alias("values"), empty.alias("gone")), step)["gone"]).alias("dedup_key"))
-    gone = gone.withColumn("category", F.lit("secrets"))
-    ast = F.col("stage_ord") == 3
-    return findings.filter(~ast).unionByName(findings.filter(ast).join(gone, ["analysis_id", "category", "dedup_key"], "left_anti").select(*NAMES))
+    order = F.struct(*ORDER)
+    secret = found.filter("category = 'secrets'").select("analysis_id", "dedup_key", "value", "stage_ord", order.alias("at"))
+    quoted = F.substring(F.regexp_extract("value", r"""["']([^"']{8,})["']""", 1), 1, 20)
+    ast = secret.filter("stage_ord = 3").withColumn("begins", quoted)
+    secret = secret.join(ast.select("analysis_id").distinct(), "analysis_id", "left_semi")
+    firsts = ast.filter("begins <> ''").groupBy("analysis_id", "begins").agg(F.min(F.struct("at", "dedup_key")).alias("f")).select("analysis_id", "begins", "f.*")
+    again = ast.filter("begins <> ''").join(firsts.select("analysis_id", "dedup_key"), ["analysis_id", "dedup_key"], "left_anti").select("analysis_id", "dedup_key")
+
+    stay = firsts.select("analysis_id", "dedup_key", F.lit(True).alias("open"))
+    held = secret.filter("stage_ord <> 3").select("analysis_id", "dedup_key", "value", "at", F.lit(False).alias("open"))
+    held = held.unionByName(ast.filter("begins = ''").select("analysis_id", "dedup_key", "value", "at", F.lit(False).alias("open")))
+    held = held.unionByName(ast.join(stay, ["analysis_id", "dedup_key"]).select("analysis_id", "dedup_key", "value", "at", "open"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("value") - 7), lambda i: F.substr("value", i, F.lit(8))))
+    held = held.filter(F.length("value") >= 8).select("analysis_id", F.col("dedup_key").alias("by"), "value", F.col("at").alias("by_at"), "open", F.explode(grams).alias("gram"))
+    asks = firsts.select("analysis_id", "dedup_key", "begins", "at", F.substring("begins", 1, 8).alias("gram"))
+    hits = asks.join(held, ["analysis_id", "gram"]).filter((F.col("by_at") < F.col("at")) & F.contains("value", F.col("begins")))
+    hits = hits.groupBy("analysis_id", "dedup_key", "at").agg(F.bool_or(~F.col("open")).alias("sure"), F.collect_set(F.when(F.col("open"), F.col("by"))).alias("by"))
+
+    def step(gone: Column, r: Column) -> Column:
+        hidden = r["sure"] | F.exists(r["by"], lambda v: ~F.array_contains(gone, v))
+        return F.when(hidden, F.array_append(gone, r["dedup_key"])).otherwise(gone)
+
+    rows = hits.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("at", "dedup_key", "sure", "by"))).alias("rows"))
+    gone = rows.select("analysis_id", F.explode(F.aggregate("rows", F.array().cast("array<string>"), step)).alias("dedup_key"))
+    return again.unionByName(gone)
+
+
+def drop_known_secrets(found: DataFrame) -> DataFrame:
+    """Deduped findings without known_secrets()."""
+    ast = (F.col("category") == "secrets") & (F.col("stage_ord") == 3)
+    return found.filter(~ast).unionByName(found.filter(ast).join(known_secrets(found), ["analysis_id", "dedup_key"], "left_anti").select(*found.columns))
 
 
 def across_files(findings: DataFrame) -> DataFrame:

@@ -32,6 +32,17 @@ def is_route_noise(v: Column) -> Column:
     return out
 
 
+def running_sums(counts: Column, block: int = 64) -> Column:
+    """Prefix sums of an array of ints: those of whole blocks, and inside a block the sum of its beginning."""
+    add = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+    n = F.size(counts)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: add(F.slice(counts, b * block + 1, block)))
+    before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    at = lambda i: F.floor(i / block).cast("int")
+    sums = lambda base: F.transform(counts, lambda x, i: F.get(base, at(i)) + add(F.slice(counts, at(i) * block + 1, i % block + 1)))
+    return F.get(F.transform(F.array(before), sums), F.lit(0))
+
+
 def line_numbers(content: Column, pattern: str) -> Column:
     """array<int>: 1 + the line breaks before each match of pattern, without leaving the JVM.
 
@@ -39,11 +50,11 @@ def line_numbers(content: Column, pattern: str) -> Column:
     breaks are summed along both.
     """
     breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    gaps, found = F.split(content, pattern, -1), F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    step = lambda acc, i: F.struct((acc["n"] + breaks(F.get(gaps, i)) + F.when(i > 0, breaks(F.get(found, i - 1))).otherwise(0)).alias("n"), F.array_append(acc["out"], acc["n"] + breaks(F.get(gaps, i)) + F.when(i > 0, breaks(F.get(found, i - 1))).otherwise(0)).alias("out"))
-    many = F.size(found)
-    start = F.struct(F.lit(1).alias("n"), F.array().cast("array<int>").alias("out"))
-    return F.when(many > 0, F.aggregate(F.sequence(F.lit(0), many - 1), start, step)["out"]).otherwise(F.array().cast("array<int>"))
+    gaps = F.transform(F.split(content, pattern, -1), breaks)
+    inner = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), breaks)
+    counts = F.zip_with(F.slice(gaps, F.lit(1), F.size(inner)), F.concat(F.array(F.lit(1)), F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0)))), lambda a, b: a + b)
+    lines = F.get(F.transform(F.array(counts), lambda c: running_sums(c)), F.lit(0))
+    return F.when(F.regexp_like(content, F.lit(pattern)), lines).otherwise(F.array().cast("array<int>"))
 
 
 def scan_routes(sources: DataFrame) -> DataFrame:
@@ -51,7 +62,7 @@ def scan_routes(sources: DataFrame) -> DataFrame:
     rows_of = "array<struct<rule_ord:int,match_ord:int,type:string,value:string,line:int>>"
 
     def found(k: int, label: str, pattern: str, groups: int) -> Column:
-        p = "(?i)" + pattern
+        p = "(?i)" + spark_pattern(pattern)
         every = [F.regexp_extract_all("content", F.lit(p), F.lit(g)) for g in range(1, groups + 1)]
 
         def row(line: Column, i: Column) -> Column:

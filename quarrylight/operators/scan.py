@@ -23,16 +23,25 @@ def conform(df: DataFrame) -> DataFrame:
 def sources_of(df: DataFrame, path: Column, content: Column, analysis: Column | None = None, order: Column | None = None, base_url: Column | None = None) -> DataFrame:
     """sources(analysis_id, file_ord, path, base_url, content); by default each row is an analysis of its own."""
     return df.select(
-        (analysis if analysis is not None else path).cast("string").alias("analysis_id"), (order if order is not None else F.lit(0)).cast("int").alias("file_ord"),
+        (analysis if analysis is not None else path).cast("string").alias("analysis_id"), (order if order is not None else F.lit(0)).cast("long").alias("file_ord"),
         path.cast("string").alias("path"), (base_url if base_url is not None else F.lit(None)).cast("string").alias("base_url"), content.alias("content"),
     )
 
 
+#: Signs of a pattern whose match depends on what stands around it.
+LOOKS_AROUND = ("<b>", "<z>", "(?=", "(?!", "(?<", "(^", ":^", "|^")
+
+
 def matches(content: Column, lower: Column, rule: Rule, order: int) -> Column:
     """array<struct<rule_ord, match_ord, value>> of a rule; a text that lacks every needed part isn't searched."""
     pattern = ("(?i)" if rule.ignore_case else "") + spark_pattern(rule.pattern)
-    every = [F.regexp_extract_all(content, F.lit(pattern), F.lit(g)) for g in (0, *rule.groups)]
-    value = lambda v, i: F.coalesce(*[F.nullif(F.get(g, i), F.lit("")) for g in every[1:]], v)
+    every = [F.regexp_extract_all(content, F.lit(pattern), F.lit(0))]
+    if not any(x in rule.pattern for x in LOOKS_AROUND):  # a match by itself matches as it did in its text
+        group = lambda v, i, g: F.regexp_extract(v, pattern, g)
+    else:
+        inner = {g: F.regexp_extract_all(content, F.lit(pattern), F.lit(g)) for g in rule.groups}
+        group = lambda v, i, g: F.get(inner[g], i)
+    value = lambda v, i: F.coalesce(*[F.nullif(group(v, i, g), F.lit("")) for g in rule.groups], v)
     found = F.transform(every[0], lambda v, i: F.struct(F.lit(order).alias("rule_ord"), i.alias("match_ord"), (value(v, i) if rule.groups else v).alias("value")))
     if not rule.need:
         return found

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import html_escape, is_base64, relative_age, remote_name
+from .functions.text import SPACES, html_escape, is_base64, relative_age, remote_name, with_spaces
 from .functions.versions import version_number
 from .operators import chunks, dedupe, enrich, fingerprint, hosts, libraries, routes, summary
 from .operators.libraries import ADVISORIES
 from .operators.rules import CATEGORIES, EXPLOITS, RULES, SEVERITIES, URL_NOISE, Rule
 from .operators.scan import is_noise, scan_entropy, scan_rules, sources_of
 from .operators.syntax import scan_syntax
-from .plans.analyze import findings, findings_raw
+from .plans.analyze import analyze, findings, findings_raw
 from .sinks import reports, store
 from .sources import files
 from .sources import maps as source_maps
@@ -80,11 +80,11 @@ def query(name: str, sql: str | None = None):
 
 
 def re2(p: str, ignore_case: bool = True) -> str:
-    return ("(?i)" if ignore_case else "") + p.replace("<b>", r"\b").replace("<z>", "$").replace("'", "''")
+    return ("(?i)" if ignore_case else "") + with_spaces(p.replace("<b>", r"\b").replace("<z>", "$")).replace("'", "''")
 
 
 def sql_clean(v: str) -> str:
-    return f"""regexp_replace(regexp_replace({v}, '^["'']|["'']$', '', 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')"""
+    return f"""regexp_replace(regexp_replace({v}, '^["'']|["'']$', '', 'g'), '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"""
 
 
 SQL_BASE64 = "coalesce(length(value) % 4 = 0 AND regexp_full_match(value, '[A-Za-z0-9+/]*={0,2}') AND try(to_base64(from_base64(CASE WHEN length(value) % 4 = 0 AND regexp_full_match(value, '[A-Za-z0-9+/]*={0,2}') THEN value ELSE '' END))) = value, false)"
@@ -635,8 +635,8 @@ def _(spark, sf_dir):
 
 @query("full_analysis")
 def _(spark, sf_dir):
-    """All stages over all sources."""
-    f = findings(findings_raw(all_sources(spark, sf_dir)))
+    """All stages over all sources, with originals of source maps and the hosts behind what was found."""
+    f = analyze(all_sources(spark, sf_dir))
     return f.select("analysis_id", "category", "value", "type", "severity", "confidence", "rule_id", "line")
 
 

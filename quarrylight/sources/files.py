@@ -16,9 +16,10 @@ def read_files(spark: SparkSession, path: str, analysis_id: str | None = None, g
     rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
     if analysis_id is None:
         return sources_of(rows, F.col("path"), F.col("content"))
-    # numbers by name among the files of one analysis
+    # numbers by name among the files of one analysis: the names alone are ordered
     order = F.row_number().over(Window.partitionBy(F.lit(analysis_id)).orderBy("path")) - 1
-    return sources_of(rows.withColumn("_o", order), F.col("path"), F.col("content"), F.lit(analysis_id), F.col("_o"))
+    numbered = rows.join(rows.select("path").withColumn("_o", order), "path")
+    return sources_of(numbered, F.col("path"), F.col("content"), F.lit(analysis_id), F.col("_o"))
 
 
 def is_code(path: Column, mime: Column | None = None) -> Column:
@@ -28,7 +29,7 @@ def is_code(path: Column, mime: Column | None = None) -> Column:
 
 
 def pasted(spark: SparkSession, text: str, name: str = "pasted-code", base_url: str | None = None) -> DataFrame:
-    return spark.createDataFrame([(name, 0, name, base_url, text.strip())], "analysis_id string, file_ord int, path string, base_url string, content string")
+    return spark.createDataFrame([(name, 0, name, base_url, text.strip())], "analysis_id string, file_ord long, path string, base_url string, content string")
 
 
 def landed(pages: DataFrame, url: str = "url", content: str = "content") -> DataFrame:

@@ -29,6 +29,6 @@ def scan_stream(stream: DataFrame, rules: tuple[Rule, ...] = RULES, delay: str =
     return found.withWatermark("landed_at", delay).dropDuplicatesWithinWatermark(["analysis_id", "category", "dedup_key"])
 
 
-def append_findings(batch: DataFrame, _: int, path: str) -> None:
-    """A foreachBatch sink."""
-    batch.write.mode("append").partitionBy("category").parquet(path)
+def append_findings(batch: DataFrame, batch_id: int, path: str) -> None:
+    """A foreachBatch sink: each batch has its own folder, so one that is tried again replaces itself."""
+    batch.write.mode("overwrite").partitionBy("category").parquet(f"{path}/batch={batch_id}")
