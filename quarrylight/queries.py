@@ -487,15 +487,19 @@ def _(spark, sf_dir):
     return _ast(spark, sf_dir, "AST: Chunk URL Pattern", "AST: Webpack Chunk")
 
 
-@query("ast_nodes", "SELECT cast(o_orderkey as string) AS path, unnest(['Program', 'ExpressionStatement', 'CallExpression', 'MemberExpression', 'Identifier', 'Identifier', 'Literal']) AS type, unnest([0, 1, 2, 3, 4, 5, 6]) AS node_id, unnest([-1, 0, 1, 2, 3, 3, 2]) AS parent_id, unnest([NULL, NULL, NULL, 'axios.get', 'axios', 'get', NULL]) AS dotted FROM orders WHERE o_orderkey % 6 = 0")
-def _(spark, sf_dir):
-    from .operators.syntax import syntax_nodes
-
-    s = ast_sources(spark, sf_dir).filter(F.col("path").cast("long") % 6 == 0)
-    return syntax_nodes(s).select("path", "type", "node_id", "parent_id", "dotted")
+# The nodes of each code form in walking order: type, parent, and the name where it has one (x* ends in the key). The sixth form is no program.
+AST_NODES = (
+    "Program -1, ExpressionStatement 0, CallExpression 1, MemberExpression 2 axios.get, Identifier 3 axios, Identifier 3 get, Literal 2",
+    "Program -1, ExpressionStatement 0, CallExpression 1, Identifier 2 fetch, TemplateLiteral 2, Identifier 4 id",
+    "Program -1, ExpressionStatement 0, AssignmentExpression 1, MemberExpression 2 el.innerHTML, Identifier 3 el, Identifier 3 innerHTML, Identifier 2 x*, ExpressionStatement 0, CallExpression 7, Identifier 8 eval, Identifier 8 y",
+    "Program -1, VariableDeclaration 0, VariableDeclarator 1, Identifier 2 my_token, Literal 2",
+    "Program -1, ExpressionStatement 0, CallExpression 1, Identifier 2 load, BinaryExpression 2, BinaryExpression 4, Literal 5, Identifier 5 b, Literal 4, ExpressionStatement 0, CallExpression 9, Identifier 10 __webpack_require__, Literal 10",
+)
+_FORMS = ", ".join(f"({form}, {i}, '{n[0]}', {n[1]}, {repr(n[2]) if len(n) > 2 else 'NULL'})" for form, nodes in enumerate(AST_NODES) for i, n in enumerate(x.split(" ") for x in nodes.split(", ")))
 
 
-@query("ast_nodes_all")
+@query("ast_nodes", f"""SELECT cast(o_orderkey as string) AS path, type, CAST(node_id AS INT) AS node_id, CAST(parent_id AS INT) AS parent_id, replace(dotted, '*', cast(o_orderkey as string)) AS dotted
+FROM orders JOIN (VALUES {_FORMS}) f(form, node_id, type, parent_id, dotted) ON o_orderkey % 6 = form""")
 def _(spark, sf_dir):
     from .operators.syntax import syntax_nodes
 
@@ -531,7 +535,7 @@ def api_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("postman_items", "WITH u AS (SELECT DISTINCT concat('/u/:id', o_orderkey % 9, '/x') AS url FROM orders UNION SELECT DISTINCT concat('https://h.example.org/', o_orderkey % 5) FROM orders UNION SELECT DISTINCT concat('plain/seg', o_orderkey % 3) FROM orders) SELECT concat('GET ', url) AS name, CASE WHEN url LIKE 'http%' THEN url ELSE concat('{{baseUrl}}', url) END AS raw, CASE WHEN url NOT LIKE 'http%' THEN array_to_string(list_filter(string_split(url, '/'), lambda p: p <> ''), '|') END AS path FROM u")
 def _(spark, sf_dir):
-    return reports.postman_items(api_findings(spark, sf_dir)).filter("url NOT LIKE '/u/:id_'").select("name", "raw", F.array_join("path", "|").alias("path"))
+    return reports.postman_items(api_findings(spark, sf_dir)).select("name", "raw", F.array_join("path", "|").alias("path"))
 
 
 @query("openapi_paths", "SELECT DISTINCT concat('/u/{id', o_orderkey % 9, '}/x') AS path, 'get' AS method, concat('id', o_orderkey % 9) AS parameters FROM orders")
@@ -623,7 +627,7 @@ def _(spark, sf_dir):
 
 @query("distinct_urls", "SELECT DISTINCT concat('/u/:id', o_orderkey % 9, '/x') AS url, 'endpoints' AS category FROM orders UNION SELECT DISTINCT concat('https://h.example.org/', o_orderkey % 5), 'full-urls' FROM orders UNION SELECT DISTINCT concat('plain/seg', o_orderkey % 3), 'endpoints' FROM orders")
 def _(spark, sf_dir):
-    u = reports.distinct_urls(api_findings(spark, sf_dir)).filter("url NOT LIKE '/u/:id_'")
+    u = reports.distinct_urls(api_findings(spark, sf_dir))
     return u.select("url", F.element_at(F.array(*[F.lit(c) for c in reports.URL_CATEGORIES]), F.col("place.rank").cast("int")).alias("category"))
 
 

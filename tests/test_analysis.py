@@ -215,3 +215,54 @@ def test_an_analysis_reads_its_input_once(spark, tmp_path):
 def test_sums_of_literals_fold():
     root, _ = parse("x = 'a' + ('b' + ('c' + `d`)) + y + 1")
     assert text_of(root.kids[0][1].kid("expression").kid("right")) == "abcd"
+
+
+# library: (a text that names it, its version, the advisories of that version)
+LIBRARY_TEXTS = {
+    "jQuery": ("/*! jQuery v3.4.1 */", "3.4.1", ["CVE-2020-11022", "CVE-2020-11023"]),
+    "Lodash": ("lodash 4.17.20", "4.17.20", ["CVE-2020-28500", "CVE-2021-23337"]),
+    "AngularJS": ("AngularJS v1.7.9", "1.7.9", ["CVE-2020-7676", "CVE-2022-25869"]),
+    "React": ("React v16.4.1", "16.4.1", ["CVE-2018-6341"]),
+    "Vue.js": ("Vue.js v3.4.37", "3.4.37", ["CVE-2024-6783"]),
+    "Moment.js": ("moment version : 2.29.1", "2.29.1", ["CVE-2022-24785", "CVE-2022-31129"]),
+    "Handlebars": ("handlebars v4.7.6", "4.7.6", ["CVE-2021-23369"]),
+    "Underscore.js": ("Underscore.js 1.13.0", "1.13.0", ["CVE-2021-23358"]),
+    "Bootstrap": ("Bootstrap v4.1.1", "4.1.1", ["CVE-2018-14040", "CVE-2019-8331"]),
+    "DOMPurify": ("DOMPurify 3.1.2", "3.1.2", ["CVE-2024-47875"]),
+    "Axios": ("axios v1.6.1", "1.6.1", ["CVE-2023-45857"]),
+    "Socket.IO Client": ("socket.io-client v4.7.4", "4.7.4", ["CVE-2024-38355"]),
+    "Knockout": ("Knockout JavaScript library v3.5.0", "3.5.0", ["CVE-2019-14862"]),
+    "Ember.js": ("Ember 3.28.11", "3.28.11", ["CVE-2021-4142"]),
+    "D3.js": ("d3 v5.16.0", "5.16.0", ["CVE-2020-36401"]),
+    "Marked": ("marked v4.0.9", "4.0.9", ["CVE-2022-21680", "CVE-2022-21681"]),
+    "Highlight.js": ("highlight.js 10.4.0", "10.4.0", ["CVE-2021-32760"]),
+    "TinyMCE": ("tinymce 6.8.0", "6.8.0", ["CVE-2024-29203"]),
+    "CKEditor": ("CKEDITOR.version = '4.16.1'", "4.16.1", ["CVE-2021-33829", "CVE-2024-24816"]),
+    "Prototype.js": ("Prototype JavaScript framework, version 1.7.3", "1.7.3", ["CVE-2020-27511"]),
+    "Backbone.js": ("Backbone.js 1.2.3", "1.2.3", ["CVE-2016-9917"]),
+    "EJS": ("EJS v3.1.6", "3.1.6", ["CVE-2022-29078"]),
+    "Dojo": ("Dojo 1.16.3", "1.16.3", ["CVE-2020-5258"]),
+    "Chart.js": ("Chart.js v2.9.3", "2.9.3", ["CVE-2020-36049"]),
+    "YUI": ("YUI 3.17.2", "3.17.2", ["CVE-2013-4942"]),
+}
+BEYOND = {"jQuery": "jQuery v3.5.0", "Lodash": "lodash 4.17.21", "Vue.js": "Vue.js v3.4.38", "CKEditor": "CKEditor 4.25.0", "YUI": "YUI 3.18.0", "React": "React v15.9.9"}
+
+
+def test_all_libraries(spark):
+    from quarrylight.operators.libraries import scan_libraries
+
+    rows = [(k, 0, "f.txt", None, v[0]) for k, v in LIBRARY_TEXTS.items()] + [(k + "+", 0, "f.txt", None, v) for k, v in BEYOND.items()]
+    got = {}
+    for r in scan_libraries(spark.createDataFrame(rows, SOURCES)).filter("category = 'libraries'").collect():
+        got.setdefault(r.analysis_id, []).append((r.library.name, r.library.version, r.library.advisory_id))
+    assert {k: sorted(v, key=str) for k, v in got.items() if k[-1] != "+"} == {k: [(k, v, a) for a in ids] for k, (_, v, ids) in LIBRARY_TEXTS.items()}
+    assert {k: (len(got[k + "+"]), got[k + "+"][0][2]) for k in BEYOND} == {k: (1, None) for k in BEYOND}
+
+
+def test_a_batch_tried_again_replaces_itself(spark, tmp_path):
+    from quarrylight.streaming.ingest import append_findings
+
+    f = scan_rules(spark.createDataFrame([("a", 0, "f", None, "a@b.com password = 'hunt2'")], SOURCES))
+    for batch in (0, 0, 1):
+        append_findings(f, batch, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 * f.count()

@@ -45,7 +45,7 @@ NODE_LISTS = {
 def test_nodes_of_all_code_forms(spark, sf_dir):
     """Every row of orders that is a program has the node list of its form; the sixth form is no program."""
     got = {}
-    for r in q.QUERIES["ast_nodes_all"](spark, sf_dir).collect():
+    for r in q.QUERIES["ast_nodes"](spark, sf_dir).collect():
         got.setdefault(int(r.path), []).append((r.node_id, f"{r.type}>{r.parent_id}"))
     keys = [r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").collect()]
     assert {k % 6 for k in keys} == set(range(6))
