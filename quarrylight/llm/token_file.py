@@ -199,13 +199,17 @@ def range_of(key: np.ndarray, tie: np.ndarray, cuts: tuple[np.ndarray, np.ndarra
     return out
 
 
-def range_cuts(stored: DataFrame, n: int, fine: int = 16) -> tuple[np.ndarray, np.ndarray]:
+#: Quantiles that the driver asks for at most; for more ranges than 1/8 of them, ranges grow instead.
+QUANTILES = 1 << 16
+
+
+def range_cuts(stored: DataFrame, n: int, fine: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """About n - 1 cuts (doc_id, tie), ascending, that part the ids of stored(doc_id, n) into ranges of like size.
 
     Quantiles of doc_id give `fine` buckets a range; their sums of ids (one number each) say
     where to cut. A bucket of several ranges' size is cut by tie, a checksum, in equal steps.
     """
-    none = np.empty(0, dtype=np.int64)
+    none, n = np.empty(0, dtype=np.int64), min(n, QUANTILES // fine)
     if n <= 1:
         return none, none
     at = np.array(sorted({int(x) for x in stored.approxQuantile("doc_id", [i / (n * fine) for i in range(1, n * fine)], 0.5 / (n * fine))}), dtype=np.int64)
