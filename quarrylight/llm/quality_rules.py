@@ -49,10 +49,23 @@ def _left(t: Column, gone: str) -> Column:
     return F.length(F.regexp_replace(t, gone, ""))
 
 
-def _repeat_words(t: Column) -> Column:
+@dataclass(frozen=True)
+class Parts:
+    """A text that is not null, its words and its lines with a word."""
+
+    text: Column
+    words: Column
+    lines: Column
+
+
+def parts(t: Column) -> Parts:
+    return Parts(t, _words(t), _lines(t))
+
+
+def _repeat_words(words: Column) -> Column:
     """Words in windows of WINDOW words that occur twice or more, first ones included."""
     n = WINDOW
-    hashes = F.transform(_words(t), lambda w: F.xxhash64(w))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
     windows = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))
     beside = lambda s, k: (F.get(s, k)["h"] == F.get(s, k - 1)["h"]) | (F.get(s, k)["h"] == F.get(s, k + 1)["h"])
     begins = lambda s: F.sort_array(F.filter(F.transform(s, lambda x, k: F.when(beside(s, k), x["i"])), lambda i: i.isNotNull()))
@@ -66,18 +79,18 @@ def _repeat_words(t: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) < n, F.lit(0)).otherwise(let(windows(h), count)))
 
 
-#: Statistics of a text that is not null, each one expression.
-STATISTICS: dict[str, Callable[[Column], Column]] = {
-    "n_words": lambda t: F.size(_words(t)),
-    "word_chars": lambda t: _left(t, SPACE),
-    "n_symbols": lambda t: _left(t, r"[^#*$%&|<>]+"),
-    "n_dup_lines": lambda t: let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
-    "n_repeat_words": _repeat_words,
-    "n_lines": lambda t: F.size(_lines(t)),
-    "n_upper": lambda t: _left(t, r"[^A-Z]+"),
-    "n_digits": lambda t: _left(t, r"[^0-9]+"),
-    "n_bullets": lambda t: F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"^[\x20\x09]*[-*+] "))),
-    "n_ellipses": lambda t: F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"\.\.\.[\x20\x09\x0D]*\z"))),
+#: Statistics of a text, each one expression.
+STATISTICS: dict[str, Callable[[Parts], Column]] = {
+    "n_words": lambda p: F.size(p.words),
+    "word_chars": lambda p: _left(p.text, SPACE),
+    "n_symbols": lambda p: _left(p.text, r"[^#*$%&|<>]+"),
+    "n_dup_lines": lambda p: let(p.lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+    "n_repeat_words": lambda p: _repeat_words(p.words),
+    "n_lines": lambda p: F.size(p.lines),
+    "n_upper": lambda p: _left(p.text, r"[^A-Z]+"),
+    "n_digits": lambda p: _left(p.text, r"[^0-9]+"),
+    "n_bullets": lambda p: F.size(F.filter(F.split(p.text, "\n"), lambda x: x.rlike(r"^[\x20\x09]*[-*+] "))),
+    "n_ellipses": lambda p: F.size(F.filter(F.split(p.text, "\n"), lambda x: x.rlike(r"\.\.\.[\x20\x09\x0D]*\z"))),
 }
 
 
@@ -89,15 +102,15 @@ class Rule:
     needs: tuple[str, ...]
     fails: Callable[..., Column]
 
-    def column(self, have: tuple[str, ...], t: Column) -> Column:
-        """The rule over the columns of the statistics in have; others that it needs are computed from t where it is tried."""
+    def column(self, have: tuple[str, ...], p: Parts) -> Column:
+        """The rule over the columns of the statistics in have; others that it needs are computed from p where it is tried."""
 
         def bind(left: tuple[str, ...], got: list[Column]) -> Column:
             if not left:
                 return self.fails(*got)
             if left[0] in have:
                 return bind(left[1:], [*got, F.col(left[0])])
-            return let(STATISTICS[left[0]](t).cast("long"), lambda v: bind(left[1:], [*got, v]))
+            return let(STATISTICS[left[0]](p).cast("long"), lambda v: bind(left[1:], [*got, v]))
 
         return bind(self.needs, [])
 
@@ -126,8 +139,8 @@ def order_rules(sample: DataFrame, rules: tuple[Rule, ...] = RULES, have: tuple[
     it over the sample, less that of a run without a rule.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    made = saved(sample.select("text", *[STATISTICS[s](t).cast("long").alias(s) for s in have]), work_dir(sample.sparkSession, "sample")).coalesce(1)
-    verdicts = {r: r.column(have, t) for r in rules}
+    made = saved(sample.select("text", *[STATISTICS[s](parts(t)).cast("long").alias(s) for s in have]), work_dir(sample.sparkSession, "sample")).coalesce(1)
+    verdicts = {r: r.column(have, parts(t)) for r in rules}
     got = made.agg(F.count("*").alias("_all"), *[F.sum(v.cast("int")).alias(r.name) for r, v in verdicts.items()]).first()
 
     def seconds(condition: Column) -> float:
@@ -154,16 +167,23 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     the texts (none if the order is given). The verdict covers all rows.
     """
     new = [*statistics, "base_failed", "rejected_by", "kept"]
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*new, "__qr_text"}]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*new, "__qr_text", "__qr_words", "__qr_lines"}]
     t = F.coalesce(F.col("text"), F.lit(""))
     if ordered is None:
         share = min(1.0, sample_rows / max(1, docs.count()))
         sample = saved(docs.select("text").sample(share, seed) if share < 1 else docs.select("text"), work_dir(docs.sparkSession, "rules"))
         ordered = [r for r, _, _ in order_rules(sample, rules, statistics)]
-    stats = docs.select(*own, t.alias("__qr_text"), *[STATISTICS[s](t).cast("long").alias(s) for s in statistics])
+    # words and lines are split once if columns need them, else where a rule is tried
+    split = docs.select(*own, t.alias("__qr_text"))
+    p = parts(F.col("__qr_text"))
+    if {"n_words", "n_repeat_words"} & set(statistics):
+        split, p = split.withColumn("__qr_words", p.words), Parts(p.text, F.col("__qr_words"), p.lines)
+    if {"n_lines", "n_dup_lines"} & set(statistics):
+        split, p = split.withColumn("__qr_lines", p.lines), Parts(p.text, p.words, F.col("__qr_lines"))
+    stats = split.select("*", *[STATISTICS[s](p).cast("long").alias(s) for s in statistics])
     verdict = F.when(F.lit(False), F.lit(""))
     for r in (*BASE, *ordered):
-        verdict = verdict.when(r.column(statistics, F.col("__qr_text")), F.lit(r.name))
+        verdict = verdict.when(r.column(statistics, p), F.lit(r.name))
     out = stats.select(*own, *statistics, verdict.alias("rejected_by"))
     return out.select("*", F.coalesce(F.col("rejected_by").isin(*[r.name for r in BASE]), F.lit(False)).alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
