@@ -14,11 +14,14 @@ passages. Passages of one node that touch are taken together, since different
 owners may hold parts of one; together they must have min_words words.
 
 The seeds of one passage may have several owners, or one owner elsewhere, and
-then make no chain. So exact runs are also searched by themselves: every run of
-min_words words whose seeds are all shared is matched, at all its places, with
-the least node that holds the whole run, and runs that go on in both texts are
-one passage. No exact run of min_words words that a lesser node holds is left.
-A passage without such a run (a fuzzy one) is found by its chains alone.
+then make no chain. So where a stretch of shared seeds is not inside the passages
+along chains, exact runs are searched by themselves: every run of min_words
+words of such a text is matched, at all its places, with the least node that
+holds the whole run, and runs that go on in both texts are one passage. Of an
+exact run of min_words words that a lesser node holds, its seeds and all words
+between them are in some passage; W - 1 words at either end may stay where the
+seeds' owner doesn't hold them. A passage without such a run (a fuzzy one) is
+found by its chains alone.
 
 Per document at most its own seeds, chains and words meet in one task. Owners
 come from partial aggregates; seeds and runs that very many rows hold are joined
@@ -144,20 +147,31 @@ def shared_seeds(lists: DataFrame, bits) -> DataFrame:
                 flat = h.flatten().to_numpy()
                 hit = hash_in_bitmap(bits.value, flat)
                 node = np.repeat(b.column("node").to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(flat[hit]), pa.array(positions(pos.flatten().to_numpy()[hit]))], ["node", "h", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(flat[hit]), pa.array(pos.flatten().to_numpy()[hit])], ["node", "h", "pos"])
 
     return map_arrow(lists, run, "node long, h long, pos int")
 
 
-def exact_runs(docs: DataFrame, table: DataFrame, nodes: DataFrame, bits, n: int, work: str) -> DataFrame:
-    """node, owner, first, last, owner_first, owner_last of the runs of n words at least that a lesser node holds.
+def in_stretches(aligned: DataFrame, min_words: int) -> DataFrame:
+    """aligned passages with new, stretch and words: those of a node that overlap or touch make one stretch, which must have min_words words."""
+    before = Window.partitionBy("node").orderBy("first", "last", "owner", "owner_first")
+    reach = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    marked = aligned.withColumn("new", F.coalesce((F.col("first") > reach + 2).cast("int"), F.lit(1)))
+    marked = marked.withColumn("stretch", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("node", "stretch")
+    return marked.withColumn("words", F.max("last").over(whole) - F.min("first").over(whole)).filter(F.col("words") >= min_words)
+
 
-    bits: bitmap of the shared seeds. Only texts with enough of them in a row
-    are read; of those, hashes of runs and their places are exchanged.
+def exact_runs(docs: DataFrame, table: DataFrame, nodes: DataFrame, aligned: DataFrame, bits, n: int, work: str) -> DataFrame | None:
+    """node, owner, first, last, owner_first, owner_last of the runs of n words at least that a lesser node holds; None without any.
+
+    bits: bitmap of the shared seeds. Runs ask that have a word in a stretch of
+    shared seeds and outside the aligned passages. Their hashes are gathered, then
+    the places of these runs in all texts with such stretches.
     """
     gap = n - (K + W - 1) - (W - 1)  # between the first and the last seed of a run, at least
 
-    def ask(batches):
+    def stretches(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
@@ -167,33 +181,65 @@ def exact_runs(docs: DataFrame, table: DataFrame, nodes: DataFrame, bits, n: int
                 at, row = np.flatnonzero(hit), row[hit]
                 cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row) > 0)])) if len(at) else at
                 end = np.append(cut[1:], len(at)) - 1 if len(at) else at
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.unique(row[cut[pos[at[end]] - pos[at[cut]] >= gap]])))], ["key"])
-
-    askers = table.select("key") if n < K + W - 1 else map_arrow(table.select("key", "h", "pos"), ask, "key long")
-    wanted = bitmap(askers.distinct().join(nodes.select("first.key"), "key"), "key")  # copies have their node's runs
+                first, last = pos[at[cut]].astype(np.int64), pos[at[end]].astype(np.int64)
+                keep = last - first >= gap
+                yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row[cut[keep]])), pa.array(first[keep]), pa.array(last[keep] + K)], ["node", "lo", "hi"])
+
+    asks = saved(map_arrow(table.select("node", "h", "pos"), stretches, "node long, lo long, hi long").distinct(), f"{work}/stretches")
+    if n < K + W - 1:  # such runs need no seed: all texts ask
+        asks = table.select("node", F.lit(0).alias("lo"), F.col("n_words").alias("hi")).distinct()
+    whole = in_stretches(aligned, n).groupBy("node", "stretch").agg(F.min("first").alias("from"), F.max("last").alias("to"))
+    opened = asks.join(whole, (asks["node"] == whole["node"]) & (whole["from"] <= asks["lo"]) & (whole["to"] >= asks["hi"]), "left_anti")
+    opened = opened.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
+    closed = whole.groupBy("node").agg(F.collect_list(F.struct("from", "to")).alias("closed"))
+    opened = saved(opened.join(closed, "node", "left").join(nodes.select("node", "first.key"), "node"), f"{work}/opened")
+    if opened.isEmpty():
+        return None
+
+    def asked_in(batches):
+        """The runs with a word that lies in a stretch of shared seeds and in no passage."""
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 128):
+                out = [np.empty(0, dtype=np.int64)]
+                for x in whole.slice(lo, 128).to_pylist():
+                    words = words_of(x["text"])[0]
+                    bare = np.zeros(len(words) + 1, dtype=np.int64)
+                    for z in x["open"]:
+                        bare[z["lo"] + 1 : z["hi"] + 1] = 1
+                    for z in x["closed"] or ():
+                        bare[z["from"] + 1 : z["to"] + 1] = 0
+                    bare = np.cumsum(bare)
+                    h, p = shared_runs(words, bits.value, n)
+                    out.append(h.view(np.int64)[bare[p + n] > bare[p]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["h"])
+
+    asking = docs.select("key", "text").join(sized(opened.drop("node"), 100_000), "key").select("text", "open", "closed")
+    asked = saved(map_arrow(asking, asked_in, "h long").distinct(), f"{work}/asked")
+    also, wanted = hash_bitmap(asked, "h"), bitmap(asks.select("node").distinct().join(nodes.select("node", "first.key"), "node"), "key")  # copies have their node's runs
 
     def run(batches):
         for whole in batches:
             take = np.flatnonzero(in_bitmap(wanted.value, whole.column("slot").to_numpy()))
             for lo in range(0, len(take), 256):
-                words = [words_of(t)[0] for t in whole.column("text").take(pa.array(take[lo : lo + 256])).to_pylist()]
-                got = [shared_runs(x, bits.value, n) for x in words]
-                sizes = [len(h) for h, _ in got]
-                if sum(sizes):
-                    node = np.repeat(np.array([node_of(x) or 0 for x in words], dtype=np.int64), sizes)
-                    again = np.concatenate([np.ones(len(h), dtype=bool) for h, _ in got])
-                    for (h, _), z in zip(got, np.cumsum(sizes), strict=True):
-                        again[np.unique(h, return_index=True)[1] + z - len(h)] = False
-                    pos = np.concatenate([p for _, p in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([h for h, _ in got]).view(np.int64)), pa.array(np.where(again, -1 - pos, pos).astype(np.int32))], ["node", "h", "pos"])
+                parts = []
+                for t in whole.column("text").take(pa.array(take[lo : lo + 256])).to_pylist():
+                    words = words_of(t)[0]
+                    h, p = shared_runs(words, bits.value, n)
+                    hit = hash_in_bitmap(also.value, h.view(np.int64))
+                    if hit.any():
+                        h, p = h.view(np.int64)[hit], p[hit]
+                        again = np.ones(len(h), dtype=bool)
+                        again[np.unique(h, return_index=True)[1]] = False
+                        parts.append((np.full(len(h), node_of(words)), h, np.where(again, -1 - p, p).astype(np.int32)))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["node", "h", "pos"])
 
     places = saved(map_arrow(docs.select(slot("key").alias("slot"), "text"), run, "node long, h long, pos int"), f"{work}/places")
     owned = join_unique(places, owners(places, f"{work}/run-owners"), "h").filter("node <> owner")
-    owned = owned.select("node", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "owner", "owner_pos")
-    same = ["node", "owner", F.col("pos") - F.col("owner_pos")]
-    along = Window.partitionBy(*same).orderBy("pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(along) > n).cast("int"), F.lit(1))
-    parts = owned.withColumn("new", new).withColumn("part", F.sum("new").over(along)).withColumn("shift", F.col("pos") - F.col("owner_pos"))
+    owned = owned.withColumn("pos", F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")))
+    owned = owned.select("node", "owner", (F.col("pos") - F.col("owner_pos")).alias("shift"), "pos")
+    along = Window.partitionBy("node", "owner", "shift").orderBy("pos")
+    parts = owned.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(along) > n).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(along))
     runs = parts.groupBy("node", "owner", "shift", "part").agg(F.min("pos").cast("long").alias("first"), (F.max("pos") + n).cast("long").alias("last"))
     runs = runs.select("node", "owner", "first", "last", (F.col("first") - F.col("shift")).alias("owner_first"), (F.col("last") - F.col("shift")).alias("owner_last"))
     return saved(runs, f"{work}/runs")
@@ -469,23 +515,19 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     nodes = saved(table.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("c")), f"{work}/nodes")
     lists = table.select("node", "h", "pos")
-    exploded = lists.select("node", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("node", "s.h", "s.pos")
-    owned = owners(exploded, f"{work}/owned")
-    bits = hash_bitmap(owned, "h")
+    nodes_of = lists.select("node", F.explode("h").alias("h")).groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    bits = hash_bitmap(saved(nodes_of.filter("least <> most").select("h"), f"{work}/shared"), "h")
     held = saved(shared_seeds(lists, bits), f"{work}/held")
-    matches = join_unique(held, owned, "h").filter("node <> owner").select("node", "owner", "pos", "owner_pos").distinct()
+    matches = join_unique(held, owners(held, f"{work}/owned"), "h").filter("node <> owner")
+    at = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos")
+    matches = matches.select("node", "owner", at, "owner_pos").distinct()
     chains = saved(chain_matches(matches), f"{work}/chains")
     aligned = saved(align_chains(docs, chains, nodes, work), f"{work}/aligned")
-    runs = exact_runs(docs, table, nodes, bits, min_words, work)
-    aligned = saved(with_rest(aligned, runs), f"{work}/rest")
+    runs = exact_runs(docs, table, nodes, aligned, bits, min_words, work)
+    if runs is not None:
+        aligned = saved(with_rest(aligned, runs), f"{work}/rest")
 
-    # passages of a node that overlap or touch make one stretch, which must be long enough
-    before = Window.partitionBy("node").orderBy("first", "last", "owner", "owner_first")
-    reach = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    marked = aligned.withColumn("new", F.coalesce((F.col("first") > reach + 2).cast("int"), F.lit(1)))
-    marked = marked.withColumn("stretch", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("node", "stretch")
-    marked = marked.withColumn("words", F.max("last").over(whole) - F.min("first").over(whole)).filter(F.col("words") >= min_words)
+    marked = in_stretches(aligned, min_words)
     own = nodes.select("node", "first.doc_id", "first.key")
     found = marked.select("node", "owner", *[F.col(c).alias(f"p_{c}") for c in ("first", "last", "owner_first", "owner_last")], "identity").join(own, "node")
     found = saved(found, f"{work}/found")
@@ -497,7 +539,7 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     many = saved(nodes.filter("c > 1").select("node", F.col("first.doc_id").alias("other_id"), F.col("first.key").alias("kept"), "c"), f"{work}/many")
     copies = join_unique(table.filter(F.col("n_words") >= min_words).select("node", "doc_id", "key", "n_words"), many, "node").filter("key <> kept")
     copies = copies.select("doc_id", "other_id", zero.alias("first"), F.col("n_words").alias("last"), zero.alias("other_first"), F.col("n_words").alias("other_last"), F.lit(1.0).alias("identity"), "key")
-    for name in ("owned", "held", "chains", "aligned", "spans", "asks", "places", "run-owners", "runs", "rest"):
+    for name in ("shared", "owned", "held", "chains", "aligned", "spans", "asks", "stretches", "opened", "asked", "places", "run-owners", "runs", "rest"):
         remove(spark, f"{work}/{name}")
     return found.unionByName(copies).select(*columns)
 
